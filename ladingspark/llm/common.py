@@ -22,16 +22,28 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def digest_of(df: DataFrame) -> Column:
+    """Digest of all columns' digests; a null differs from every text but the character NUL alone."""
+    parts = [F.md5(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00"))) for c in df.columns]
+    return F.md5(F.concat_ws(":", *parts))
+
+
 def words_in(text: bytes) -> list[bytes]:
     """Words of a UTF-8 text with A-Z lower-cased; bytes.split and bytes.lower treat ASCII alone."""
     return text.lower().split()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one of our own only where none is named."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the cluster's shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -69,3 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (op2_media_png, op3_quality_classifier, op4_url_filter, op5_mixing, op6_bpe, op7_simhash, op8_ann, op9_sharding, op10_token_counts)
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

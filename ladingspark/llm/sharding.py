@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, digest_of
 
 #: Bits of the hash: 15 hexadecimal digits, to stay in a positive long.
 BITS = 60
@@ -26,12 +26,6 @@ STEP = 12
 BROADCAST_SHARDS = 100_000
 
 
-def digest_of(df: DataFrame) -> Column:
-    """Digest of all columns' digests."""
-    parts = [F.md5(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00"))) for c in df.columns]
-    return F.md5(F.concat_ws(":", *parts))
-
-
 def directory(hashed: DataFrame, limit: int) -> DataFrame:
     """depth, prefix, shard_bytes, paged (true: equal rows over the limit, which no bit can part).
 

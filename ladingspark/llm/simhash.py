@@ -2,10 +2,11 @@
 
 Fingerprints of 64 bits or a multiple. Equal fingerprints are one row before anything is
 compared. The distinct ones are put into tiles by their population counts (of the whole, or of
-parts of it); two tiles are compared only if their counts differ by no more than the radius, in
-sum over the parts, which no linked pair can exceed. A task compares two tiles of bounded size
-with numpy's exclusive-or and bit counts and returns a forest of the links, never all pairs of a
-group. Components then come from alternating stars.
+parts of it) and, if a similarity is asked for, by the number of their shingles; two tiles are
+compared only if their counts differ by no more than the radius, in sum over the parts, which no
+linked pair can exceed. A task compares two tiles of bounded size with numpy's exclusive-or and
+bit counts and returns a forest of the links, never all pairs of a group. Components then come
+from alternating stars.
 
 Defined results: null and blank texts have fingerprint zero, linked like any other; texts with
 fewer words than a shingle take the whole sequence; repeated rows share a component; doc_id null
@@ -16,15 +17,16 @@ result. Other columns are not looked at.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_of, words_in
+from .common import checkpointed, digest_of, text_of, words_in
 
 #: Fingerprints in a tile, at most.
 TILE = 8192
@@ -32,69 +34,108 @@ TILE = 8192
 STRIP = 64
 
 
-def fingerprint(text: str, shingle: int, seeds: tuple[int, ...]) -> bytes:
-    """Big-endian bytes: a bit is 1 if it is set in over half the shingles' hashes."""
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further 64 bits of each hash (splitmix64's finaliser; k = 0: the hash itself)."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str, shingle: int, seed: int, width: int = 1) -> tuple[bytes, int]:
+    """Big-endian bytes, where a bit is 1 if it is set in over half the shingles' hashes; number of shingles."""
     words = words_in(text.encode())
     if not words:
-        return bytes(8 * len(seeds))
+        return bytes(8 * width), 0
     joined = b" ".join(words)
     if len(words) <= shingle:
         cuts = [joined]
     else:
         ends = list(itertools.accumulate(len(w) + 1 for w in words))
         cuts = [joined[a : b - 1] for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(c, seed) for c in cuts), np.uint64, len(cuts))
     out = []
-    for seed in seeds:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(c, seed) for c in cuts), np.uint64, len(cuts))
+    for k in range(width):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(hashes), 1 << 16):
-            ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            more = mixed(hashes[at : at + (1 << 16)], k)
+            ones += np.unpackbits(more.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         out.append(np.packbits(2 * ones > len(hashes)).tobytes())
-    return b"".join(out)
+    return b"".join(out), len(cuts)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """doc_id, fp (binary, 8 bytes a seed)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, key: Column | str = "doc_id", shingle: int = 3, seed: int = 42, width: int = 1) -> DataFrame:
+    """key, fp (binary, 8 * width bytes), shingles."""
+    given = docs.select(F.col(key).alias("key") if isinstance(key, str) else key.alias("key"), text_of().alias("text"))
+    kind = given.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([fingerprint(t, shingle, seeds) for t in part.column("text").to_pylist()], pa.binary())], names=["doc_id", "fp"])
-
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary")
-
+                found = [fingerprint(t, shingle, seed, width) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["key", "fp", "shingles"])
 
-def offsets(parts: int, radius: int) -> np.ndarray:
-    """All vectors of `parts` whole numbers whose absolute values sum to the radius at most."""
-    found = {(): 0}
-    for _ in range(parts):
-        found = {(*v, d): s + abs(d) for v, s in found.items() for d in range(-radius, radius + 1) if s + abs(d) <= radius}
-    return np.array(sorted(found), np.int64).reshape(-1, parts)
+    return given.mapInArrow(run, f"key {kind}, fp binary, shingles bigint")
 
 
-def cell_of(fps: np.ndarray, parts: int) -> np.ndarray:
-    """Population counts of each part as the digits of one number. fps: rows of bytes."""
-    counts = np.bitwise_count(fps).reshape(len(fps), parts, -1).sum(axis=2, dtype=np.int64)
-    base = fps.shape[1] * 8 // parts + 1
-    return counts @ (base ** np.arange(parts - 1, -1, -1, dtype=np.int64))
+class Grid:
+    """Cells of nodes: band of the number of shingles, and population counts of the parts in steps.
 
+    A node is the fingerprint's bytes and, where a similarity is asked for, 8 more with the number
+    of shingles. Without a similarity all are in band 0.
+    """
 
-def tiles(distinct: DataFrame, n_bytes: int, parts: int) -> DataFrame:
-    """cell, block, fps (the tile's fingerprints, an array)."""
+    def __init__(self, n_bytes: int, radius: int, parts: int, step: int, similarity: float | None):
+        self.n_bytes, self.radius, self.parts, self.step, self.similarity = n_bytes, radius, parts, step, similarity
+        self.base = n_bytes * 8 // parts // step + 1
+        self.digits = self.base ** np.arange(parts, -1, -1, dtype=np.int64)
+        # A vector of differences can hold a linked pair only if its least distance is in the radius.
+        found: dict[tuple[int, ...], int] = {(b,): 0 for b in ((-1, 0, 1) if similarity else (0,))}
+        reach = (radius - 1) // step + 1 if radius else 0
+        for _ in range(parts):
+            found = {(*v, d): far for v, s in found.items() for d in range(-reach, reach + 1) if (far := s + max(0, (abs(d) - 1) * step + 1) * (d != 0)) <= radius}
+        near = np.array(sorted(found), np.int64)
+        self.near = near[(near @ self.digits) >= 0]  # the other half is seen from the other cell
+
+    def split(self, nodes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints as bytes, one row each, and numbers of shingles."""
+        rows = np.frombuffer(b"".join(nodes), np.uint8).reshape(len(nodes), -1)
+        if not self.similarity:
+            return rows, np.zeros(len(rows), np.int64)
+        return np.ascontiguousarray(rows[:, : self.n_bytes]), np.ascontiguousarray(rows[:, self.n_bytes :]).view(">i8").ravel().astype(np.int64)
+
+    def cells(self, nodes: list[bytes]) -> np.ndarray:
+        prints, n = self.split(nodes)
+        counts = np.bitwise_count(prints).reshape(len(prints), self.parts, -1).sum(axis=2, dtype=np.int64) // self.step
+        band = np.floor(np.log(np.maximum(n, 1)) / -math.log(self.similarity)).astype(np.int64) if self.similarity else n
+        return np.concatenate([band[:, None], counts], axis=1) @ self.digits
+
+    def asked(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each cell, the cells to compare it with: owner and the other."""
+        counts = cells[:, None] // self.digits[None, :]
+        counts[:, 1:] %= self.base
+        wanted = counts[:, None, :] + self.near[None, :, :]
+        ok = (wanted >= 0).all(axis=2) & (wanted[:, :, 1:] < self.base).all(axis=2)
+        return np.repeat(cells, ok.sum(axis=1)), (wanted @ self.digits)[ok]
+
+
+def tiles(distinct: DataFrame, grid: Grid) -> DataFrame:
+    """cell, block, nodes (the tile's, an array)."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, n_bytes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell_of(fps, parts))], names=["fp", "cell"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grid.cells(batch.column(0).to_pylist()))], names=["node", "cell"])
 
-    placed = distinct.select("fp").mapInArrow(cells, "fp binary, cell bigint")
+    placed = distinct.select("node").mapInArrow(cells, "node binary, cell bigint")
     # Blocks by hash: about half a tile each, so that none exceeds it but by extreme chance; the
     # comparison itself goes in strips and takes any size.
     sizes = placed.groupBy("cell").agg(F.count("*").alias("_n"))
-    joined = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(F.col("_n") / F.lit(TILE // 2))))
-    return joined.groupBy("cell", "block").agg(F.collect_list("fp").alias("fps"))
+    joined = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / F.lit(TILE // 2))))
+    return joined.groupBy("cell", "block").agg(F.collect_list("node").alias("nodes"))
 
 
 def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -113,73 +154,69 @@ def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (places in left, then right) of the links within `radius` of two tiles, or of one with itself."""
-    both = left if right is None else np.concatenate([left, right])
-    shift = 0 if right is None else len(left)
-    other = left if right is None else right
-    labels = np.arange(len(both))
-    for at in range(0, len(left), STRIP):
-        strip = left[at : at + STRIP]
-        far = np.zeros((len(strip), len(other)), np.uint16)
-        for w in range(left.shape[1]):
-            far += np.bitwise_count(strip[:, w, None] ^ other[None, :, w])
-        i, j = np.nonzero(far <= radius)
-        if right is None:
-            keep = i + at < j
-            i, j = i[keep], j[keep]
-        if len(i):
-            merged(labels, i + at, j + shift)
-    child = np.flatnonzero(labels != np.arange(len(both)))
+def forest(grid: Grid, left: list[bytes], right: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (places in left, then right) of the links of two tiles, or of one with itself."""
+    words = lambda prints: prints.view(np.uint64).reshape(len(prints), -1)
+    prints, n = grid.split(left)
+    a, size_a = words(prints), n
+    if right is None:
+        b, size_b, shift = a, size_a, 0
+    else:
+        prints, size_b = grid.split(right)
+        b, shift = words(prints), len(left)
+    labels = np.arange(len(left) + (0 if right is None else len(right)))
+    for at in range(0, len(a), STRIP):
+        strip, first = a[at : at + STRIP], at + 1 if right is None else 0  # with itself: later places alone
+        others = b[first:]
+        far = np.zeros((len(strip), len(others)), np.uint16)
+        for w in range(a.shape[1]):
+            far += np.bitwise_count(strip[:, w, None] ^ others[None, :, w])
+        i, j = np.nonzero(far <= grid.radius)
+        i, j = i + at, j + first
+        keep = np.ones(len(i), bool) if right is not None else i < j
+        if grid.similarity:
+            keep &= np.minimum(size_a[i], size_b[j]) >= grid.similarity * np.maximum(size_a[i], size_b[j])
+        if keep.any():
+            merged(labels, i[keep], j[keep] + shift)
+    child = np.flatnonzero(labels != np.arange(len(labels)))
     return child, labels[child]
 
 
-def links(distinct: DataFrame, n_bytes: int, radius: int, parts: int) -> DataFrame:
-    """a, b: links between distinct fingerprints, enough of them to give every component."""
-    tiled = checkpointed(tiles(distinct, n_bytes, parts))
-    base, near = n_bytes * 8 // parts + 1, offsets(parts, radius)
-    digits = base ** np.arange(parts - 1, -1, -1, dtype=np.int64)
-    near = near[(near @ digits) >= 0]  # the other half is seen from the other tile
+def links(distinct: DataFrame, grid: Grid) -> DataFrame:
+    """a, b: links between distinct nodes, enough of them to give every component."""
+    tiled = checkpointed(tiles(distinct, grid))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = batch.column(0).to_numpy()
             for at in range(0, len(cells), 512):
-                some = cells[at : at + 512]
-                counts = (some[:, None] // digits[None, :]) % base
-                wanted = counts[:, None, :] + near[None, :, :]
-                ok = ((wanted >= 0) & (wanted < base)).all(axis=2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, ok.sum(axis=1))), pa.array((wanted @ digits)[ok])], names=["cell", "cell2"])
+                own, other = grid.asked(cells[at : at + 512])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(other)], names=["cell", "cell2"])
 
     index = tiled.select("cell", "block")
     cells = index.select("cell").distinct()
     pairs = cells.mapInArrow(ask, "cell bigint, cell2 bigint").join(cells.withColumnRenamed("cell", "cell2"), "cell2")
     pairs = pairs.join(index, "cell").join(index.select(F.col("cell").alias("cell2"), F.col("block").alias("block2")), "cell2")
     pairs = pairs.filter((F.col("cell") < F.col("cell2")) | (F.col("block") <= F.col("block2")))
-    right = tiled.select(F.col("cell").alias("cell2"), F.col("block").alias("block2"), F.col("fps").alias("fps2"))
+    right = tiled.select(F.col("cell").alias("cell2"), F.col("block").alias("block2"), F.col("nodes").alias("nodes2"))
     work = pairs.join(tiled, ["cell", "block"]).join(right, ["cell2", "block2"])
     # Dealt anew by pair: a cell with many blocks has many pairs, and they go to many tasks.
     work = work.repartition(*["cell", "block", "cell2", "block2"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def words(value) -> np.ndarray:
-            return np.frombuffer(b"".join(value), np.uint64).reshape(-1, n_bytes // 8)
-
         for batch in batches:
-            c1, b1, c2, b2, f1, f2 = (batch.column(k) for k in range(6))
+            same = [c1 == c2 and b1 == b2 for c1, b1, c2, b2 in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
             out_a, out_b = [], []
             for k in range(batch.num_rows):
-                same = c1[k].as_py() == c2[k].as_py() and b1[k].as_py() == b2[k].as_py()
-                left = words(f1[k].as_py())
-                right_ = None if same else words(f2[k].as_py())
-                child, root = forest(left, right_, radius)
-                if len(child):
-                    both = left if same else np.concatenate([left, right_])
-                    out_a += [r.tobytes() for r in both[child]]
-                    out_b += [r.tobytes() for r in both[root]]
+                left = batch.column("nodes")[k].as_py()
+                right_ = None if same[k] else batch.column("nodes2")[k].as_py()
+                child, root = forest(grid, left, right_)
+                both = left if same[k] else left + right_
+                out_a += [both[c] for c in child]
+                out_b += [both[r] for r in root]
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
 
-    return work.select("cell", "block", "cell2", "block2", "fps", "fps2").mapInArrow(compare, "a binary, b binary")
+    return work.select("cell", "block", "cell2", "block2", "nodes", "nodes2").mapInArrow(compare, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,18 +241,51 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seeds: tuple[int, ...] = (42,), parts: int = 8) -> DataFrame:
+def grouped(prints: DataFrame, grid: Grid) -> DataFrame:
+    """prints (key, fp, shingles) with node and root: equal roots, one component. prints: checkpointed."""
+    size = F.unhex(F.lpad(F.hex("shingles"), 16, "0"))
+    prints = prints.withColumn("node", F.concat("fp", size) if grid.similarity else F.col("fp"))
+    distinct = prints.select("node").distinct()
+    roots = components(links(distinct, grid)).select(F.col("node").alias("_node"), "root")
+    # Only nodes with a link have a row in roots; a root itself has none.
+    return prints.join(roots, prints["node"] == roots["_node"], "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, parts: int = 8) -> DataFrame:
     """doc_id, fp, component_id (least doc_id reachable over links, its own included).
 
     parts: into how many equal parts the fingerprint goes for the tiles' population counts; more
     parts skip more pairs of tiles but ask for more of them (8 suits a radius of 2, 1 a wide one).
     """
-    n_bytes = 8 * len(seeds)
-    prints = checkpointed(fingerprints(docs, shingle, seeds))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct, n_bytes, radius, parts))
-    # Only fingerprints with a link have a row in roots; a root itself has none.
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = checkpointed(named.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id"))
-    return prints.join(named, prints["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+    prints = checkpointed(fingerprints(docs, "doc_id", shingle, seed))
+    named = checkpointed(grouped(prints, Grid(8, radius, parts, 1, None)))
+    ids = named.groupBy(F.col("root").alias("_root")).agg(F.min("key").alias("component_id"))
+    return named.join(ids, F.col("root") == F.col("_root")).select(F.col("key").alias("doc_id"), "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4, radius: int | None = None, seed: int = 42) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the least doc_id (null last), then the least digest.
+
+    Two texts are linked if their fingerprints of 64 * width bits differ in at most `radius` bits
+    and the smaller has at least `similarity` times the shingles of the larger. The default radius
+    is the distance that is expected of two sets of shingles with that Jaccard similarity, and a
+    standard deviation and a quarter more. Of rows that are equal in all columns one is kept.
+    """
+    bits = 64 * width
+    if radius is None:
+        share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        radius = int(bits * share + 1.25 * math.sqrt(bits * share * (1 - share)))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), digest_of(docs).alias("digest"))
+    prints = checkpointed(fingerprints(docs, key, shingle, seed, width))
+    named = grouped(prints, Grid(8 * width, radius, 1, radius, similarity))
+    best = named.groupBy("root").agg(F.min("key").alias("key")).select("key.*")
+    # Keys number rows; a key that stands for several equal rows is found by counting, so that
+    # only such rows have to be brought together.
+    many = prints.groupBy("key").agg(F.count("*").alias("_n")).select("key.digest", F.col("key.id").alias("_id"), "_n")
+    chosen = checkpointed(best.join(many, (best["digest"] == many["digest"]) & best["id"].eqNullSafe(many["_id"])).select(best["digest"].alias("_digest"), F.col("_n").alias("_copies")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), digest_of(docs).alias("_key"))
+    joined = rows.join(chosen, F.col("_key") == F.col("_digest"))
+    single = joined.filter("_copies = 1").select("_row")
+    # Equal rows take any one of them; the row is counted before the shuffle.
+    several = joined.filter("_copies > 1").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row")
+    return single.unionByName(several).select("_row.*")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,21 @@ def words_in(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+#: Bytes of a long text that are cut into words at a time.
+PIECE_BYTES = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def pieces_of(data: bytes) -> Iterator[bytes]:
+    """The text in pieces of about PIECE_BYTES that end at blanks, so that no list of all its words is needed."""
+    at = 0
+    while at < len(data):
+        found = _BLANK.search(data, at + PIECE_BYTES) if len(data) - at > PIECE_BYTES else None
+        end = found.end() if found else len(data)
+        yield data[at:end]
+        at = end
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; one of our own only where none is named."""
     sc = spark.sparkContext
@@ -47,6 +64,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as a Parquet table beside the checkpoints; smaller than a checkpoint.
+
+    Such tables stay until the folder is cleared.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
     """df with the sum of each column over all rows that come earlier in `order`.
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, media, mixing, quality, sharding, simhash, token_counts, urls
+from . import ann, bpe, lm, media, mixing, quality, sharding, simhash, token_counts, urls
 from .common import read, text_of
 
 #: The rules of the url query (host, path, verdict).
@@ -22,6 +22,10 @@ def tokenizer_json(path: str | None = None) -> str:
     return Path(path or public_tokenizers.path("byte_bpe_50k.json")).read_text()
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op2_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents"), keep_media=False)
 
@@ -67,7 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_media_png, op3_quality_classifier, op4_url_filter, op5_mixing, op6_bpe, op7_simhash, op8_ann, op9_sharding, op10_token_counts)
+        for f in (op1_lm_scoring, op2_media_png, op3_quality_classifier, op4_url_filter, op5_mixing, op6_bpe, op7_simhash, op8_ann, op9_sharding, op10_token_counts)
     }
 
 

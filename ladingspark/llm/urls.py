@@ -76,6 +76,8 @@ class DigestArray:
 def send_file(spark: SparkSession, content: bytes) -> str:
     """Spark's own file distribution; the name holds the content's digest, so that it is sent once."""
     name = f"rules-{hashlib.sha256(content).hexdigest()[:24]}.digests"
+    if any(sent.rsplit("/", 1)[-1] == name for sent in spark.sparkContext.listFiles):
+        return name
     path = os.path.join(tempfile.mkdtemp(), name)
     with open(path, "wb") as f:
         f.write(content)

@@ -191,6 +191,19 @@ FORM = {
     "net_weight": [r"\bTOTAL\b[^\n]*?\b([\d,\.]+)\s*KGS?\s+[\d,\.]+\s*KGS?\s+[\d,\.]+\s*(?:M3|CBM|CFT)"],
 }
 
+#: Lower-case parts of which every match of a field's patterns holds one.
+MARKS = {
+    "invoice_no": ("invoice", "번호"), "order_no": ("po", "p.o", "order", "purchase", "번호"), "packing_no": ("packing", "pl", "p/l", "번호"), "pl_no": ("pl", "p/l"),
+    "quotation_no": ("quotation", "proforma"), "date": ("date", "발행일", "일자"), "ship_to": ("ship", "delivery", "배송지"), "payment_terms": ("payment", "지급조건", "결제조건"),
+    "delivery_date": ("delivery", "required", "납기"), "incoterms": tuple(_TERM.lower().split("|")), "total_amount": ("total", "합계", "총액"),
+    "currency": ("currency", "통화", *_MONEY.lower().split("|")), "country_of_origin": ("origin", "원산지"), "hs_code": ("code", "number"),
+    "port_of_loading": ("loading", "선적항"), "port_of_discharge": ("discharge", "destination", "도착항", "양륙항", "목적항"), "valid_until": ("until",),
+    "gross_weight": ("gross", "g.w", "총중량", "total"), "net_weight": ("net", "n.w", "순중량", "total"), "measurement": ("measurement", "cbm", "용적", "total"),
+    "n_packages": ("packages", "박스"), "marks_numbers": ("marks",),
+    "seller": ("seller", "vendor", "shipper", "consignor", "exporter", "수출자", "매도인", "공급자", "송하인", "from", "sold", "invoice"),
+    "buyer": ("buyer", "customer", "consignee", "importer", "수입자", "매수인", "구매자", "수하인", "to", "messrs"),
+}
+
 #: Labels and headings that are no values.
 LABELS = (
     "invoice no.", "invoice number", "invoice date", "po no.", "order no.", "purchase order", "packing list",

@@ -61,10 +61,15 @@ def hits(source: str, value: str | exact, flags: str | None = None) -> str:
     return f"transform(arrays_zip({alls}), x -> named_struct('raw', x.`0`, {parts}))"
 
 
-def first(source: str, values: Sequence[str | exact], accept: str = "true") -> str:
-    """The first hit h that `accept` holds for, pattern by pattern; null if there is none."""
-    each = [f"try_element_at(filter({hits(source, v)}, h -> {accept}), 1)" for v in values]
-    return each[0] if len(each) == 1 else f"coalesce({', '.join(each)})"
+def first(source: str, values: Sequence[str | exact], accept: str = "true", marks: Sequence[str] = (), lower: str = "") -> str:
+    """The first hit h that `accept` holds for, pattern by pattern; null if there is none.
+
+    marks: lower-case parts of which every match holds one; texts without any of them (in the column
+    `lower`) are not searched. A pattern's groups are only taken where it matches at all.
+    """
+    each = [f"if({like(source, v)}, try_element_at(filter({hits(source, v)}, h -> {accept}), 1), null)" for v in values]
+    found = each[0] if len(each) == 1 else f"coalesce({', '.join(each)})"
+    return f"if({contains_any(lower, marks)}, {found}, null)" if marks else found
 
 
 def like(source: str, value: str | exact, flags: str | None = None) -> str:

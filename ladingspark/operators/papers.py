@@ -54,6 +54,10 @@ def cleaned(value: str, until_cell: bool = False) -> str:
     return f"regexp_replace({plain}, {X.text(r'(?Ud)\s*[\t|]\s*.*$' if until_cell else r'(?Ud)\s*\([^\)]*$')}, '')"
 
 
+#: The column with the lower-case text that the parsers look for marks in.
+LOWER = "_lower"
+
+
 def as_record(found: str, make: str) -> str:
     """make over the hit h, or null."""
     return f"transform(array({found}), h -> if(h is null, cast(null as {RECORD}), cast({make} as {RECORD})))[0]"
@@ -61,22 +65,22 @@ def as_record(found: str, make: str) -> str:
 
 def invoice_field(t: str, field: str, patterns: Sequence[str | exact]) -> str:
     if field == "total_amount":
-        return as_record(X.first(t, patterns, "h.b <> ''"), record("replace(h.b, ',', '')", "h.raw", currency="h.a"))
+        return as_record(X.first(t, patterns, "h.b <> ''", invoice.MARKS[field], LOWER), record("replace(h.b, ',', '')", "h.raw", currency="h.a"))
     if field == "incoterms":
-        return as_record(X.first(t, patterns), record("upper(h.a)", "h.raw", term="upper(h.a)", place=X.strip("h.b")))
+        return as_record(X.first(t, patterns, "true", invoice.MARKS[field], LOWER), record("upper(h.a)", "h.raw", term="upper(h.a)", place=X.strip("h.b")))
     if field in ("gross_weight", "net_weight", "measurement", "n_packages"):
         value = X.strip("replace(h.a, ',', '')")
-        return as_record(X.first(t, patterns, f"not {no_invoice_value(value, field)}"), record(value, "h.raw", unit="h.b"))
-    return as_record(X.first(t, patterns, f"not {no_invoice_value('h.a', field)}"), record(X.strip("h.a"), "h.raw"))
+        return as_record(X.first(t, patterns, f"not {no_invoice_value(value, field)}", invoice.MARKS[field], LOWER), record(value, "h.raw", unit="h.b"))
+    return as_record(X.first(t, patterns, f"not {no_invoice_value('h.a', field)}", invoice.MARKS[field], LOWER), record(X.strip("h.a"), "h.raw"))
 
 
 def invoice_form_field(t: str, field: str) -> str:
     patterns = invoice.FORM[field]
     if field == "incoterms":
         place = X.strip("h.b")
-        return as_record(X.first(t, patterns), record(f"trim(concat(upper(h.a), ' ', {place}))", "h.raw", term="upper(h.a)", place=place))
+        return as_record(X.first(t, patterns, "true", invoice.MARKS[field], LOWER), record(f"trim(concat(upper(h.a), ' ', {place}))", "h.raw", term="upper(h.a)", place=place))
     value = cleaned("h.a")
-    return as_record(X.first(t, patterns, f"not {no_invoice_value(value, field)}"), record(value, "h.raw"))
+    return as_record(X.first(t, patterns, f"not {no_invoice_value(value, field)}", invoice.MARKS[field], LOWER), record(value, "h.raw"))
 
 
 def party_block(t: str) -> str:
@@ -118,24 +122,24 @@ def key_fields(fields: str, first_of: Sequence[str] = ("value", "term", "raw"))
     return F.expr(f"transform_values({fields}, (k, v) -> coalesce({parts}))")
 
 
-def missing(fields: str, names: Sequence[str]) -> str:
-    return f"filter({X.texts(names)}, n -> not map_contains_key({fields}, n))"
-
-
 def warning_missing(absent: str) -> str:
     return f"if(size({absent}) > 0, array(concat('MISSING_FIELDS:', upper(array_join({absent}, ',')))), cast(array() as array<string>))"
 
 
 def with_common(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("common", extract.common_fields(text))
+    """docs with common (what `parse` has worked out already, if it has) and the lower-case text."""
+    common = F.col("_common") if "_common" in docs.columns else extract.common_fields(text)
+    return docs.withColumn("common", common).withColumn(LOWER, F.lower(F.coalesce(F.col(text), F.lit(""))))
 
 
-def parse_invoice_like(docs: DataFrame, kind: str, text: str = "text") -> DataFrame:
-    """fields, items, key_fields, warnings, confidence, common; kind: one of invoice.ESSENTIAL.
+def parse_invoice_like(docs: DataFrame, kind: str | Column, text: str = "text", label_first: bool | None = None) -> DataFrame:
+    """fields, items, key_fields, warnings, confidence, common; kind: one of invoice.ESSENTIAL, or a column of them.
 
-    Orders try the label before the value first, the others the value first.
+    label_first: whether the label is tried before the value; by default for orders alone.
     """
-    catalogue = invoice.FORWARD if kind == "PurchaseOrder" else invoice.reverse()
+    if label_first is None:
+        label_first = isinstance(kind, str) and kind == "PurchaseOrder"
+    catalogue = invoice.FORWARD if label_first else invoice.reverse()
     t = f"coalesce(`{text}`, '')"
     found = {name: invoice_field(t, name, patterns) for name, patterns in catalogue.items()}
     for name in invoice.FORM:
@@ -144,29 +148,29 @@ def parse_invoice_like(docs: DataFrame, kind: str, text: str = "text") -> DataFr
     found["seller"] = f"coalesce({found['seller']}, {fallback_party(t, 1)})"
     # Of the names in the block, the buyer is the second even where the seller was found elsewhere.
     found["buyer"] = f"coalesce({found['buyer']}, {fallback_party(t, 2)})"
-    out = with_common(docs, text).withColumn("fields", field_map(found)).withColumn("items", items(text))
-    out = out.withColumn("key_fields", key_fields("fields"))
-    more = ["if(size(items) = 0, array('NO_ITEMS_DETECTED'), cast(array() as array<string>))"]
-    if kind == "PackingList":
-        weight = "map_contains_key(fields, 'gross_weight') or map_contains_key(fields, 'net_weight')"
-        more.append(f"if({weight}, cast(array() as array<string>), array('NO_WEIGHT_INFO'))")
-        more.append("if(map_contains_key(fields, 'measurement'), cast(array() as array<string>), array('NO_MEASUREMENT'))")
-    out = out.withColumn("warnings", F.expr(f"concat({', '.join([warning_missing(missing('fields', invoice.ESSENTIAL[kind])), *more])})"))
+    out = with_common(docs, text).withColumn("_kind", F.lit(kind) if isinstance(kind, str) else kind)
+    out = out.withColumns({"fields": field_map(found), "items": items(text)})
+    nothing = "cast(array() as array<string>)"
+    needed = "case _kind " + " ".join(f"when {X.text(k)} then {X.texts(names)}" for k, names in invoice.ESSENTIAL.items()) + f" else {nothing} end"
+    absent = f"filter({needed}, n -> not map_contains_key(fields, n))"
+    weight = "map_contains_key(fields, 'gross_weight') or map_contains_key(fields, 'net_weight')"
+    only_packing = lambda ok, word: f"if(_kind = 'PackingList' and not ({ok}), array('{word}'), {nothing})"
+    warnings = [warning_missing(absent), f"if(size(items) = 0, array('NO_ITEMS_DETECTED'), {nothing})", only_packing(weight, "NO_WEIGHT_INFO"), only_packing("map_contains_key(fields, 'measurement')", "NO_MEASUREMENT")]
     n = F.size("fields")
     score = F.when(n >= 6, 0.5).when(n >= 3, 0.3).when(n >= 1, 0.15).otherwise(0.0) + F.least(F.lit(0.3), F.size("items") * 0.05)
     score += F.when(F.size("common.incoterms") > 0, 0.1).otherwise(0.0) + F.when(F.size("common.amounts") > 0, 0.1).otherwise(0.0)
-    return out.withColumn("confidence", F.least(score, F.lit(1.0)))
+    return out.withColumns({"key_fields": key_fields("fields"), "warnings": F.expr(f"concat({', '.join(warnings)})"), "confidence": F.least(score, F.lit(1.0))}).drop(LOWER, "_kind")
 
 
-def lading_field(t: str, patterns: Sequence[str | exact]) -> str:
+def lading_field(t: str, field: str, patterns: Sequence[str | exact]) -> str:
     two = all(X.groups_in(p) == 2 for p in patterns)
     accept = f"not {no_value('h.a', lading.LABELS, lading.LABEL_STARTS)}"
-    return as_record(X.first(t, patterns, accept), record(X.strip("h.a"), "h.raw", unit="h.b" if two else "''"))
+    return as_record(X.first(t, patterns, accept, lading.MARKS[field], LOWER), record(X.strip("h.a"), "h.raw", unit="h.b" if two else "''"))
 
 
-def lading_form_field(t: str, patterns: Sequence[str | exact], group: str = "a") -> str:
+def lading_form_field(t: str, field: str, patterns: Sequence[str | exact], group: str = "a") -> str:
     value = cleaned(f"h.{group}", until_cell=True)
-    return as_record(X.first(t, patterns, f"not {no_value(value, lading.LABELS, lading.LABEL_STARTS)}"), record(value, "h.raw"))
+    return as_record(X.first(t, patterns, f"not {no_value(value, lading.LABELS, lading.LABEL_STARTS)}", lading.MARKS[field], LOWER), record(value, "h.raw"))
 
 
 def by_air(text: str) -> Column:
@@ -181,18 +185,18 @@ def containers(text: str) -> Column:
 def parse_lading(docs: DataFrame, text: str = "text") -> DataFrame:
     """fields, key_fields, is_air_waybill, transport_mode, containers, warnings, confidence, common."""
     t = f"coalesce(`{text}`, '')"
-    found = {name: lading_field(t, patterns) for name, patterns in lading.FIELDS.items()}
+    found = {name: lading_field(t, name, patterns) for name, patterns in lading.FIELDS.items()}
     for name, patterns in lading.FORM.items():
-        found[name] = f"coalesce({found[name]}, {lading_form_field(t, patterns)})"
+        found[name] = f"coalesce({found[name]}, {lading_form_field(t, name, patterns)})"
     for name, group in (("vessel", "a"), ("voyage", "b")):  # a form says these best
-        found[name] = f"coalesce({lading_form_field(t, lading.VESSEL_AND_VOYAGE, group)}, {found[name]})"
+        found[name] = f"coalesce({lading_form_field(t, name, lading.VESSEL_AND_VOYAGE, group)}, {found[name]})"
     out = with_common(docs, text).withColumn("fields", field_map(found)).withColumn("key_fields", key_fields("fields", ("value", "raw")))
     out = out.withColumn("is_air_waybill", by_air(text)).withColumn("transport_mode", F.when(F.col("is_air_waybill"), "air").otherwise("sea")).withColumn("containers", containers(text))
     has = lambda name: f"map_contains_key(fields, '{name}')"
     absent = f"array_compact(array(if({has('bl_number')} or {has('awb_number')}, null, 'BL_AWB_NUMBER'), if({has('shipper')}, null, 'SHIPPER'), if({has('consignee')}, null, 'CONSIGNEE')))"
     n = F.size("fields")
     score = F.when(n >= 8, 0.85).when(n >= 5, 0.65).when(n >= 3, 0.45).when(n >= 1, 0.2).otherwise(0.0) + F.when(F.size("containers") > 0, 0.1).otherwise(0.0)
-    return out.withColumn("warnings", F.expr(warning_missing(absent))).withColumn("confidence", F.least(score, F.lit(1.0)))
+    return out.withColumn("warnings", F.expr(warning_missing(absent))).withColumn("confidence", F.least(score, F.lit(1.0))).drop(LOWER)
 
 
 def swift_fields(t: str) -> str:
@@ -211,8 +215,8 @@ def swift_fields(t: str) -> str:
 
 def narrative_field(t: str, field: str, patterns: Sequence[str | exact]) -> str:
     if field == "amount":
-        return as_record(X.first(t, patterns), record("replace(h.b, ',', '')", "h.raw", currency="upper(h.a)"))
-    return as_record(X.first(t, patterns, f"not {no_value('h.a', credit.LABELS, credit.LABEL_STARTS)}"), record(X.strip("h.a"), "h.raw"))
+        return as_record(X.first(t, patterns, "true", credit.MARKS[field], LOWER), record("replace(h.b, ',', '')", "h.raw", currency="upper(h.a)"))
+    return as_record(X.first(t, patterns, f"not {no_value('h.a', credit.LABELS, credit.LABEL_STARTS)}", credit.MARKS[field], LOWER), record(X.strip("h.a"), "h.raw"))
 
 
 def parse_credit(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -241,7 +245,7 @@ def parse_credit(docs: DataFrame, text: str = "text") -> DataFrame:
     for condition in (F.size("common.dates") > 0, F.size("common.amounts") > 0, extract.has_parties("common.parties")):
         score += F.when(condition, 0.05).otherwise(0.0)
     out = out.withColumn("warnings", F.expr(warning_missing(absent))).withColumn("confidence", F.least(score, F.lit(1.0)))
-    return out.drop("_t", "_flat")
+    return out.drop("_t", "_flat", LOWER)
 
 
 def long_fields(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -255,31 +259,40 @@ def long_items(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
     return parsed.select(*keep, F.posexplode("items").alias("pos", "_i")).select(*keep, (F.col("pos") + 1).alias("pos"), "_i.*")
 
 
-#: Parsers by kind; more kinds, and catalogues of one's own, are registered here.
-PARSERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
-    **{kind: (lambda docs, text="text", kind=kind: parse_invoice_like(docs, kind, text)) for kind in invoice.ESSENTIAL},
-    "BillOfLading": parse_lading,
-    "LetterOfCredit": parse_credit,
-}
+Parser = Callable[[DataFrame, Column, str], DataFrame]
+#: Parsers and the kinds that each reads; a parser takes papers, their kind and the name of the text column. More are registered here.
+PARSERS: list[tuple[tuple[str, ...], Parser]] = [
+    (("CommercialInvoice", "ProformaInvoice", "PackingList"), lambda docs, kind, text: parse_invoice_like(docs, kind, text, label_first=False)),
+    (("PurchaseOrder",), lambda docs, kind, text: parse_invoice_like(docs, kind, text, label_first=True)),
+    (("BillOfLading",), lambda docs, kind, text: parse_lading(docs, text)),
+    (("LetterOfCredit",), lambda docs, kind, text: parse_credit(docs, text)),
+]
 
 
-def register(kind: str, parser: Callable[[DataFrame, str], DataFrame]) -> None:
-    PARSERS[kind] = parser
+def register(kinds: tuple[str, ...], parser: Parser) -> None:
+    """Kinds that were read by another parser are read by this one from now on."""
+    PARSERS.append((kinds, parser))
 
 
 def parse_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """What is read from papers of no known kind: common and confidence."""
     out = with_common(docs, text).withColumn("key_fields", F.expr("cast(map() as map<string,string>)")).withColumn("warnings", F.expr("cast(array() as array<string>)"))
-    return out.withColumn("confidence", extract.base_confidence("common", F.lit(False)))
+    return out.withColumn("confidence", extract.base_confidence("common", F.lit(False))).drop(LOWER)
 
 
 def parse(docs: DataFrame, kind_column: str = "doc_type", text: str = "text") -> DataFrame:
-    """docs with key_fields, warnings and confidence by the parser of each row's kind; papers of no kind get the base parser.
+    """docs with common, key_fields, warnings and confidence by the parser of each row's kind; papers of no kind get the base parser.
 
-    Each kind's rows are filtered before its patterns are tried.
+    The parsers follow one another in one plan, so that what is below is worked out once; each reads
+    the text of its own kind and finds nothing to do in the others.
     """
-    columns = [*docs.columns, "common", "key_fields", "warnings", "confidence"]
-    out = parse_base(docs.filter(F.coalesce(~F.col(kind_column).isin(*PARSERS), F.lit(True))), text).select(*columns)
-    for kind, parser in PARSERS.items():
-        out = out.unionByName(parser(docs.filter(F.col(kind_column) == kind), text).select(*columns))
-    return out
+    kind, parts = F.col(kind_column), ("key_fields", "warnings", "confidence")
+    out = parse_base(docs, text)
+    out = out.select(*docs.columns, "common", F.struct(*parts).alias("_read"))
+    columns = [*docs.columns, "common"]
+    for kinds, parser in PARSERS:
+        own = F.coalesce(kind.isin(*kinds), F.lit(False))
+        read = parser(out.withColumnRenamed("common", "_common").withColumn("_own", F.when(own, F.col(text))), kind, "_own")
+        taken = F.when(own, F.struct(*parts)).otherwise(F.col("_read")).alias("_read")
+        out = read.select(*docs.columns, F.col("_common").alias("common"), taken)
+    return out.select(*columns, *[F.col(f"_read.{p}").alias(p) for p in parts])

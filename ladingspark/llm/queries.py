@@ -75,5 +75,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: The rules as SQL values, in the same order.
+_RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+
+OP4_SQL = f"""
+with u as (select page_id, case when contains(url, '://') then substring(url, instr(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw_host, rest from u),
+h as (select page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substring(rest, length(raw_host) + 1), '^[^?#]*') as path from p),
+r(rule_host, rule_path, verdict) as (values {_RULES}),
+fits as (select page_id, rule_host || rule_path as rule, verdict, row_number() over (partition by page_id order by length(rule_host || rule_path) desc, length(rule_host) desc) as place
+  from h join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
+select h.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from h left join fits on h.page_id = fits.page_id and place = 1
+"""
+
+OP5_SQL = r"""
+with d as (select doc_id, source, md5(coalesce(text, '')) as digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place from d group by source),
+w as (select source, source_size, place % 3 + 1 as weight, 3 * source_size as cap, sum(source_size) over () as total from s),
+-- a source is capped if its cap is below its share once all sources with a smaller cap for their weight are capped
+o as (select *, total - coalesce(sum(cap) over before, 0) as left_words, sum(weight) over (order by cap::double / weight, source nulls last rows between current row and unbounded following) as left_weight from w
+  window before as (order by cap::double / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+c as (select *, cap <= weight * left_words / left_weight::double as capped from o),
+f as (select sum(case when capped then 0 else weight end) as free_weight, min(total) - sum(case when capped then cap else 0 end) as free_words from c),
+t as (select source, source_size, case when capped then cap::double else (weight * free_words)::double / free_weight end as target from c, f),
+x as (select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0.0 end as rate,
+  ('0x' || substring(md5('mix|' || coalesce(doc_id::varchar, '') || '|' || digest), 1, 12))::bigint / 281474976710656.0 as uniform from d join t on d.source is not distinct from t.source)
+select doc_id, size::bigint as size, source_size, target, (size * (floor(rate) + case when uniform < rate - floor(rate) then 1 else 0 end))::bigint as taken from x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins. The others can't be said in SQL: tests/llm holds them against brute force or the libraries."""
+    return {"op4_url_filter": OP4_SQL, "op5_mixing": OP5_SQL}

@@ -150,7 +150,7 @@ def classify_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all kinds over the documents, each with some words of trade put before it."""
-    docs = render.table(spark, sf_dir, "documents")
+    docs = render.spread(render.table(spark, sf_dir, "documents"))
     said = F.element_at(F.array(*map(F.lit, PREFIXES)), (F.col("doc_id") % len(PREFIXES) + 1).cast("int"))
     rows = docs.select("doc_id", F.concat(said, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
     found = classify.classify(rows)
@@ -239,6 +239,6 @@ select doc_id, clause_id, title, lang, article_no, length(t)::bigint as chars fr
     "common_fields": (common_fields, DEALS + "select doc_id, case when variant = 2 then 'EUR' else 'USD' end as currency, case when variant = 2 then substring((floor(total)::bigint % 90000 + 1000)::varchar, 1, 3)::decimal(18,2) else total end as amount, date as dates, 'FOB BUSAN,CIF ' || regexp_extract(port, '^[A-Za-z]*') as terms, true as party_a, false as party_b, '구매자,수출자' as roles, '@수출자1' as placeholders from d"),
     "classify_papers": (classify_papers, DEALS + f"select doc_id, {_KIND} as doc_type from d"),
     "classify_documents": (classify_documents, _score_sql()),
-    "title_counts": (title_counts, "select doc_id, w as word, ((length(upper(text)) - length(replace(upper(text), upper(w), ''))) // length(w))::bigint as n, ((length(substring(upper(text), 1, 300)) - length(replace(substring(upper(text), 1, 300), upper(w), ''))) // length(w))::bigint as top from documents, (values ('the'), ('en'), ('ound')) as k(w)"),
+    "title_counts": (title_counts, "select doc_id, w as word, ((length(upper(replace(text, 'ß', 'SS'))) - length(replace(upper(replace(text, 'ß', 'SS')), upper(w), ''))) // length(w))::bigint as n, ((length(substring(upper(replace(text, 'ß', 'SS')), 1, 300)) - length(replace(substring(upper(replace(text, 'ß', 'SS')), 1, 300), upper(w), ''))) // length(w))::bigint as top from documents, (values ('the'), ('en'), ('ound')) as k(w)"),
     "document_flow": (document_flow, DEALS + f"select doc_id, {_KIND} as doc_type, case doc_id % 7 when 0 then invoice_no when 1 then invoice_no when 2 then order_no when 3 then order_no when 4 then bl_number when 5 then lc_number end as number, doc_id % 7 < 4 as has_warnings from d"),
 }

@@ -62,7 +62,7 @@ def field_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = render.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, F.lit(" 제1조 제 2 조 제1조 ★★")).otherwise("")).alias("text"))
+    docs = render.spread(render.table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, F.lit(" 제1조 제 2 조 제1조 ★★")).otherwise("")).alias("text"))
     return docs.select("doc_id", F.round(extract.plain_share("text"), 6).alias("odd_share"), extract.article_count("text").cast("bigint").alias("articles"), contracts.language("text").alias("language"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,6 @@ def upload_type(path: str) -> Column:
 
 def decoded(content: str) -> Column:
     """Bytes as text: UTF-8 if they are that, else the Korean code page, what doesn't fit left out."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def korean(column: pd.Series) -> pd.Series:

@@ -251,11 +251,11 @@ def grouped(prints: DataFrame, grid: Grid) -> DataFrame:
     return prints.join(roots, prints["node"] == roots["_node"], "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, parts: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, parts: int = 4) -> DataFrame:
     """doc_id, fp, component_id (least doc_id reachable over links, its own included).
 
     parts: into how many equal parts the fingerprint goes for the tiles' population counts; more
-    parts skip more pairs of tiles but ask for more of them (8 suits a radius of 2, 1 a wide one).
+    parts skip more pairs of tiles but send each tile to more partners (4 suits a radius of 2, 1 a wide one).
     """
     prints = checkpointed(fingerprints(docs, "doc_id", shingle, seed))
     named = checkpointed(grouped(prints, Grid(8, radius, parts, 1, None)))

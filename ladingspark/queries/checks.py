@@ -194,11 +194,11 @@ def risk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream through the same operators as a batch, written exactly once."""
-    source = kept(render.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("B/L N0: "), F.coalesce("text", F.lit(""))).alias("text")))
+    source = kept(render.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     out = f"{source.inputFiles()[0].rsplit('/', 1)[0]}-out"
-    query = stream.process(stream.papers(spark, source.inputFiles()[0].rsplit("/", 1)[0]), lambda s: s.select("doc_id", F.md5(clean.label_numbers("text")).alias("text_md5")), out, f"{out}-checkpoint")
+    query = stream.process(stream.papers(spark, source.inputFiles()[0].rsplit("/", 1)[0]), lambda s: s.select("doc_id", clean.label_numbers(F.concat(F.lit("B/L N0: "), F.col("doc_id").cast("string"))).alias("label"), F.md5(clean.unescape_lines("text")).alias("text_md5")), out, f"{out}-checkpoint")
     query.awaitTermination()
-    return spark.read.schema("doc_id bigint, text_md5 string").parquet(out)
+    return spark.read.schema("doc_id bigint, label string, text_md5 string").parquet(out)
 
 
 _DEAL = "with d as (select o_orderkey as doc_id, o_totalprice::decimal(18,2) as total, strftime(o_orderdate, '%Y-%m-%d') as date, o_orderkey % 3 as variant from orders join customer on o_custkey = c_custkey)\n"
@@ -258,5 +258,5 @@ select *, md5(case when status <> 'FAIL' then '' else 'x' end) as mark from c"""
     "incremental_skip": (incremental, "select doc_id, doc_id % 2 = 0 as has_pages, doc_id % 5 = 0 as has_result from documents where doc_id % 3 <> 0"),
     "encrypt_roundtrip": (encrypt_roundtrip, "select doc_id::varchar as name, c as category, md5(coalesce(text, '')) as text_md5 from documents, (values ('docs'), ('reports')) as k(c) where doc_id % 4 <> 0 and not (doc_id % 4 = 1 and c = 'reports')"),
     "risk_counts": (risk_counts, _DEAL + "select variant, count(*) filter (doc_id % 5 = 0) as high, count(*) filter (doc_id % 5 = 1) as middle, count(*) filter (doc_id % 5 in (2, 4)) as low from d group by variant"),
-    "stream_papers": (stream_papers, "select doc_id, md5('B/L No: ' || coalesce(text, '')) as text_md5 from documents"),
+    "stream_papers": (stream_papers, "select doc_id, 'B/L No: ' || doc_id as label, md5(replace(coalesce(text, ''), '\\n', chr(10))) as text_md5 from documents"),
 }

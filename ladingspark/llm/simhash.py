@@ -8,6 +8,10 @@ linked pair can exceed. A task compares two tiles of bounded size with numpy's e
 bit counts and returns a forest of the links, never all pairs of a group. Components then come
 from alternating stars.
 
+If a similarity is asked for, these links are only proposals. The sets of shingles (as 64-bit
+hashes) of the texts that have one are brought together by component of proposals, in blocks of
+bounded size, and a proposed pair is a link only if the Jaccard similarity of the two sets says so.
+
 Defined results: null and blank texts have fingerprint zero, linked like any other; texts with
 fewer words than a shingle take the whole sequence; repeated rows share a component; doc_id null
 takes no part in the smallest id of its component (null if all are); an empty table gives an empty
@@ -26,12 +30,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, digest_of, text_of, words_in
+from .common import checkpointed, digest_of, stored, text_of, words_in
 
 #: Fingerprints in a tile, at most.
 TILE = 8192
 #: Rows of the left tile that a task compares with the right one in one go.
 STRIP = 64
+#: Texts in a block of a component of proposals, and bytes of their sets of shingles, both about.
+SET_BLOCK, SET_BYTES = 2048, 8 << 20
+#: Standard deviations beyond the expected distance within which a pair is proposed.
+DEVIATIONS = 4
 
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -44,18 +52,22 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str, shingle: int, seed: int, width: int = 1) -> tuple[bytes, int]:
-    """Big-endian bytes, where a bit is 1 if it is set in over half the shingles' hashes; number of shingles."""
+def hashes_of(text: str, shingle: int, seed: int) -> np.ndarray:
+    """Hashes of the shingles, in the order of the text and with repeats."""
     words = words_in(text.encode())
     if not words:
-        return bytes(8 * width), 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
         cuts = [joined]
     else:
         ends = list(itertools.accumulate(len(w) + 1 for w in words))
         cuts = [joined[a : b - 1] for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(c, seed) for c in cuts), np.uint64, len(cuts))
+    return np.fromiter((xxhash.xxh64_intdigest(c, seed) for c in cuts), np.uint64, len(cuts))
+
+
+def fingerprint(hashes: np.ndarray, width: int = 1) -> bytes:
+    """Big-endian bytes, where a bit is 1 if it is set in over half the shingles' hashes."""
     out = []
     for k in range(width):
         ones = np.zeros(64, np.int64)
@@ -63,11 +75,11 @@ def fingerprint(text: str, shingle: int, seed: int, width: int = 1) -> tuple[byt
             more = mixed(hashes[at : at + (1 << 16)], k)
             ones += np.unpackbits(more.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         out.append(np.packbits(2 * ones > len(hashes)).tobytes())
-    return b"".join(out), len(cuts)
+    return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, key: Column | str = "doc_id", shingle: int = 3, seed: int = 42, width: int = 1) -> DataFrame:
-    """key, fp (binary, 8 * width bytes), shingles."""
+def fingerprints(docs: DataFrame, key: Column | str = "doc_id", shingle: int = 3, seed: int = 42, width: int = 1, sets: bool = False) -> DataFrame:
+    """key, fp (binary, 8 * width bytes), shingles, same (with sets, a digest of the set of shingles)."""
     given = docs.select(F.col(key).alias("key") if isinstance(key, str) else key.alias("key"), text_of().alias("text"))
     kind = given.schema["key"].dataType.simpleString()
 
@@ -75,20 +87,48 @@ def fingerprints(docs: DataFrame, key: Column | str = "doc_id", shingle: int = 3
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                found = [fingerprint(t, shingle, seed, width) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["key", "fp", "shingles"])
+                fp, n, same = [], [], []
+                for text in part.column("text").to_pylist():
+                    hashes = hashes_of(text, shingle, seed)
+                    fp.append(fingerprint(hashes, width))
+                    n.append(len(hashes))
+                    same.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()) if sets else b"")
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(same, pa.binary())], names=["key", "fp", "shingles", "same"])
+
+    return given.mapInArrow(run, f"key {kind}, fp binary, shingles bigint, same binary")
 
-    return given.mapInArrow(run, f"key {kind}, fp binary, shingles bigint")
+
+def limits(bits: int, similarity: float, most: int = 64) -> np.ndarray:
+    """By size of the smaller set (the last for all larger ones): bits in which a pair of the similarity is let differ.
+
+    Up to `most` the expected distance is that of the worst pair of sizes, from the binomials; beyond,
+    that of two sums that are as good as normal. Fewer than four shingles aren't normal at all.
+    """
+    p = lambda n: np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
+    set_ = lambda n, c: np.array([p(n - c)[max(0, n // 2 + 1 - k) :].sum() for k in range(c + 1)])  # noqa: E731  chance of a 1, by ones among the common
+    normal = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    shares = [normal]
+    for a in range(1, most + 1):
+        worst = normal
+        for b in range(a, int(a / similarity + 1e-9) + 1):
+            c = next(c for c in range(a + 1) if c == a or c / (a + b - c) >= similarity)
+            one, other = set_(a, c), set_(b, c)
+            worst = max(worst, float((p(c) * (one * (1 - other) + other * (1 - one))).sum()))
+        shares.append(worst)
+    shares = np.array([*shares, normal])
+    return np.ceil(bits * shares + DEVIATIONS * np.sqrt(bits * shares * (1 - shares))).astype(np.int64)
 
 
 class Grid:
     """Cells of nodes: band of the number of shingles, and population counts of the parts in steps.
 
     A node is the fingerprint's bytes and, where a similarity is asked for, 8 more with the number
-    of shingles. Without a similarity all are in band 0.
+    of shingles and the digest of their set. Without a similarity all are in band 0. limits: radius
+    by the smaller number of shingles, none over `radius`.
     """
 
-    def __init__(self, n_bytes: int, radius: int, parts: int, step: int, similarity: float | None):
+    def __init__(self, n_bytes: int, radius: int, parts: int, step: int, similarity: float | None, limits: np.ndarray | None = None):
+        self.limits = np.array([radius]) if limits is None else limits
         self.n_bytes, self.radius, self.parts, self.step, self.similarity = n_bytes, radius, parts, step, similarity
         self.base = n_bytes * 8 // parts // step + 1
         self.digits = self.base ** np.arange(parts, -1, -1, dtype=np.int64)
@@ -105,7 +145,7 @@ class Grid:
         rows = np.frombuffer(b"".join(nodes), np.uint8).reshape(len(nodes), -1)
         if not self.similarity:
             return rows, np.zeros(len(rows), np.int64)
-        return np.ascontiguousarray(rows[:, : self.n_bytes]), np.ascontiguousarray(rows[:, self.n_bytes :]).view(">i8").ravel().astype(np.int64)
+        return np.ascontiguousarray(rows[:, : self.n_bytes]), np.ascontiguousarray(rows[:, self.n_bytes : self.n_bytes + 8]).view(">i8").ravel().astype(np.int64)
 
     def cells(self, nodes: list[bytes]) -> np.ndarray:
         prints, n = self.split(nodes)
@@ -154,8 +194,8 @@ def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
-def forest(grid: Grid, left: list[bytes], right: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (places in left, then right) of the links of two tiles, or of one with itself."""
+def proposed(grid: Grid, left: list[bytes], right: list[bytes] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in left, then right) of the pairs that the fingerprints link, of two tiles or of one with itself; in strips, by rising left place."""
     words = lambda prints: prints.view(np.uint64).reshape(len(prints), -1)
     prints, n = grid.split(left)
     a, size_a = words(prints), n
@@ -164,7 +204,6 @@ def forest(grid: Grid, left: list[bytes], right: list[bytes] | None) -> tuple[np
     else:
         prints, size_b = grid.split(right)
         b, shift = words(prints), len(left)
-    labels = np.arange(len(left) + (0 if right is None else len(right)))
     for at in range(0, len(a), STRIP):
         strip, first = a[at : at + STRIP], at + 1 if right is None else 0  # with itself: later places alone
         others = b[first:]
@@ -172,12 +211,48 @@ def forest(grid: Grid, left: list[bytes], right: list[bytes] | None) -> tuple[np
         for w in range(a.shape[1]):
             far += np.bitwise_count(strip[:, w, None] ^ others[None, :, w])
         i, j = np.nonzero(far <= grid.radius)
+        far = far[i, j]
         i, j = i + at, j + first
         keep = np.ones(len(i), bool) if right is not None else i < j
         if grid.similarity:
-            keep &= np.minimum(size_a[i], size_b[j]) >= grid.similarity * np.maximum(size_a[i], size_b[j])
+            small, large = np.minimum(size_a[i], size_b[j]), np.maximum(size_a[i], size_b[j])
+            keep &= small / np.maximum(large, 1) >= grid.similarity
+            keep &= far <= grid.limits[np.minimum(small, len(grid.limits) - 1)]
         if keep.any():
-            merged(labels, i[keep], j[keep] + shift)
+            yield i[keep], j[keep] + shift
+
+
+def forest(grid: Grid, left: list[bytes], right: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (places in left, then right) of the links of two tiles, or of one with itself."""
+    labels = np.arange(len(left) + (0 if right is None else len(right)))
+    for i, j in proposed(grid, left, right):
+        merged(labels, i, j)
+    child = np.flatnonzero(labels != np.arange(len(labels)))
+    return child, labels[child]
+
+
+def confirmed(grid: Grid, left: list[bytes], right: list[bytes] | None, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As forest, of the proposed pairs whose sets (sorted, left's then right's) are as similar as asked.
+
+    A pair whose ends are joined already is not looked at again.
+    """
+    labels, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    for i, j in proposed(grid, left, right):
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        for place, others in zip(i[starts], np.split(j, starts[1:]), strict=True):
+            others = others[labels[others] != labels[place]]
+            own = sets[place]
+            # In runs, so that what is put side by side is bounded.
+            runs = np.cumsum(sizes[others]) // (SET_BYTES // 8)
+            for run in np.split(others, np.flatnonzero(np.diff(runs)) + 1):
+                run = run[labels[run] != labels[place]]
+                if not len(run):
+                    continue
+                side = np.concatenate([sets[k] for k in run])
+                found = own[np.minimum(np.searchsorted(own, side), len(own) - 1)] == side if len(own) else np.zeros(len(side), bool)
+                common = np.bincount(np.repeat(np.arange(len(run)), sizes[run]), found, len(run))
+                good = run[common / np.maximum(len(own) + sizes[run] - common, 1) >= grid.similarity]
+                merged(labels, np.full(len(good), place), good)
     child = np.flatnonzero(labels != np.arange(len(labels)))
     return child, labels[child]
 
@@ -241,12 +316,51 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def grouped(prints: DataFrame, grid: Grid) -> DataFrame:
-    """prints (key, fp, shingles) with node and root: equal roots, one component. prints: checkpointed."""
+def confirmed_links(texts: DataFrame, grid: Grid, shingle: int, seed: int) -> DataFrame:
+    """a, b: links between nodes, enough of them to give every component.
+
+    texts: node, root (of the component of proposals), shingles, text; a row a node. A component is
+    cut into blocks by hash and its pairs of blocks are worked on apart, so that none is too large for a task.
+    """
+    sizes = texts.groupBy("root").agg(F.count("*").alias("_n"), F.sum("shingles").alias("_s"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("_n") / SET_BLOCK), F.ceil(F.col("_s") * 8 / SET_BYTES)).cast("int")
+    placed = texts.join(sizes.filter("_n > 1").select("root", blocks.alias("_blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                found = [np.unique(hashes_of(t, shingle, seed)).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("root", "node", "block", "_blocks")), pa.array(found, pa.binary())], names=["root", "node", "block", "_blocks", "set"])
+
+    held = placed.select("root", "node", "block", "_blocks", "text").mapInArrow(cut, "root binary, node binary, block int, _blocks int, set binary")
+    held = held.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    held = held.select("root", F.least("block", "_with").alias("p"), F.greatest("block", "_with").alias("q"), "block", "node", "set")
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, sets, block = table.column("node").to_pylist(), table.column("set").to_pylist(), table.column("block").to_numpy()
+        first = np.flatnonzero(block == block.min())
+        second = np.flatnonzero(block != block.min())
+        order = [*first, *second]
+        if not len(second) and table.column("p")[0] != table.column("q")[0]:
+            return table.slice(0, 0).select(["node", "node"]).rename_columns(["a", "b"])
+        left, right = [nodes[k] for k in first], [nodes[k] for k in second] if len(second) else None
+        child, root = confirmed(grid, left, right, [np.frombuffer(sets[k], np.uint64) for k in order])
+        return pa.table({"a": pa.array([nodes[order[c]] for c in child], pa.binary()), "b": pa.array([nodes[order[r]] for r in root], pa.binary())})
+
+    return held.groupBy("root", "p", "q").applyInArrow(compare, "a binary, b binary")
+
+
+def noded(prints: DataFrame, grid: Grid) -> DataFrame:
+    """prints with node: what is one in all comparisons."""
     size = F.unhex(F.lpad(F.hex("shingles"), 16, "0"))
-    prints = prints.withColumn("node", F.concat("fp", size) if grid.similarity else F.col("fp"))
-    distinct = prints.select("node").distinct()
-    roots = components(links(distinct, grid)).select(F.col("node").alias("_node"), "root")
+    return prints.withColumn("node", F.concat("fp", size, "same") if grid.similarity else F.col("fp"))
+
+
+def grouped(prints: DataFrame, grid: Grid, found: DataFrame | None = None) -> DataFrame:
+    """prints (noded, checkpointed) with root: equal roots, one component. found: the links, if not those of the fingerprints."""
+    edges = links(prints.select("node").distinct(), grid) if found is None else found
+    roots = components(edges).select(F.col("node").alias("_node"), "root")
     # Only nodes with a link have a row in roots; a root itself has none.
     return prints.join(roots, prints["node"] == roots["_node"], "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
 
@@ -258,7 +372,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     parts skip more pairs of tiles but send each tile to more partners (4 suits a radius of 2, 1 a wide one).
     """
     prints = checkpointed(fingerprints(docs, "doc_id", shingle, seed))
-    named = checkpointed(grouped(prints, Grid(8, radius, parts, 1, None)))
+    grid = Grid(8, radius, parts, 1, None)
+    named = checkpointed(grouped(noded(prints, grid), grid))
     ids = named.groupBy(F.col("root").alias("_root")).agg(F.min("key").alias("component_id"))
     return named.join(ids, F.col("root") == F.col("_root")).select(F.col("key").alias("doc_id"), "fp", "component_id")
 
@@ -266,18 +381,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4, radius: int | None = None, seed: int = 42) -> DataFrame:
     """docs with one row of each group of near-duplicates: the least doc_id (null last), then the least digest.
 
-    Two texts are linked if their fingerprints of 64 * width bits differ in at most `radius` bits
-    and the smaller has at least `similarity` times the shingles of the larger. The default radius
-    is the distance that is expected of two sets of shingles with that Jaccard similarity, and a
-    standard deviation and a quarter more. Of rows that are equal in all columns one is kept.
+    Two texts are linked if the Jaccard similarity of their sets of shingles is `similarity` or more.
+    Only pairs are looked at whose fingerprints of 64 * width bits differ in at most `radius` bits
+    and of which the smaller has at least `similarity` times the shingles of the larger. The default
+    radius is the distance that is expected of two sets with that similarity, and DEVIATIONS standard
+    deviations more; it is wider for sets of few shingles. Of rows that are equal in all columns one is kept.
     """
     bits = 64 * width
-    if radius is None:
-        share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        radius = int(bits * share + 1.25 * math.sqrt(bits * share * (1 - share)))
+    by_size = limits(bits, similarity) if radius is None else np.array([radius])
+    radius = int(by_size.max())
+    grid = Grid(8 * width, radius, 1, radius, similarity, by_size)
     key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), digest_of(docs).alias("digest"))
-    prints = checkpointed(fingerprints(docs, key, shingle, seed, width))
-    named = grouped(prints, Grid(8 * width, radius, 1, radius, similarity))
+    prints = noded(checkpointed(fingerprints(docs, key, shingle, seed, width, sets=True)), grid)
+    # One text of each node that has a proposal.
+    near = grouped(prints, grid).select("node", "root", "shingles", "key.digest")
+    sized = near.groupBy("root").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).filter("_low <> _high").select("root")
+    asked = checkpointed(near.join(sized, "root").groupBy("node").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles"), F.min("digest").alias("digest")))
+    texts = docs.select(digest_of(docs).alias("digest"), text_of().alias("text")).join(asked, "digest")
+    texts = stored(texts.groupBy("node").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles"), F.first("text").alias("text")))
+    named = grouped(prints, grid, confirmed_links(texts, grid, shingle, seed))
     best = named.groupBy("root").agg(F.min("key").alias("key")).select("key.*")
     # Keys number rows; a key that stands for several equal rows is found by counting, so that
     # only such rows have to be brought together.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -118,6 +119,45 @@ def test_simhash_keeps_one_of_near_copies(spark):
     assert nulls.count() == 1
 
 
+def kept_by_brute_force(texts, similarity):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for t in texts]
+    holders, root = {}, list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in enumerate(sets):
+        for j in {j for s in own for j in holders.get(s, ())}:
+            if len(own & sets[j]) / len(own | sets[j]) >= similarity:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    return [i for i in range(len(texts)) if find(i) == i]
+
+
+def test_simhash_confirms_by_exact_similarity(spark, monkeypatch):
+    rng = random.Random(5)
+    new = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(150):
+        ten, eight, long = new(10), new(8), new(120)
+        texts += [ten, [*ten[:9], *new(1)]]  # 5 of 7: under .8
+        texts += [eight, eight + new(1)]  # 4 of 5: .8
+        texts += [long, [*long[:30], *new(1), *long[31:60], *new(1), *long[61:]], [*long[:30], *new(1), *long[31:60], *new(1), *long[61:90], *new(1), *long[91:]]]  # .84, and .77 to the first
+        texts += [[*long[:20], *new(1), *long[21:50], *new(1), *long[51:80], *new(1), *long[81:]]]
+    family = new(60)
+    texts += [[*family[:k], *new(1), *family[k + 1 :]] for k in range(60) for _ in range(2)]  # one component in blocks
+    texts = [" ".join(t) for t in texts]
+    want = kept_by_brute_force(texts, 0.8)
+    docs = documents(spark, texts)
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == want
+    monkeypatch.setattr(simhash, "SET_BLOCK", 16)
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == want
+
+
 def test_mixing_targets_and_copies(spark):
     docs = documents(spark, random_texts(300) + [None, ""], source=lambda i: None if i % 7 == 0 else f"s{i % 5}" if i % 3 else "big")
     rows = mixing.copies(docs).collect()

@@ -79,7 +79,7 @@ def fingerprint(hashes: np.ndarray, width: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, key: Column | str = "doc_id", shingle: int = 3, seed: int = 42, width: int = 1, sets: bool = False) -> DataFrame:
-    """key, fp (binary, 8 * width bytes), shingles, same (with sets, a digest of the set of shingles)."""
+    """key, fp (binary, 8 * width bytes), shingles, same (with sets: each shingle counts once in all, and this is a digest of their set)."""
     given = docs.select(F.col(key).alias("key") if isinstance(key, str) else key.alias("key"), text_of().alias("text"))
     kind = given.schema["key"].dataType.simpleString()
 
@@ -90,9 +90,11 @@ def fingerprints(docs: DataFrame, key: Column | str = "doc_id", shingle: int = 3
                 fp, n, same = [], [], []
                 for text in part.column("text").to_pylist():
                     hashes = hashes_of(text, shingle, seed)
+                    if sets:
+                        hashes = np.unique(hashes)
                     fp.append(fingerprint(hashes, width))
                     n.append(len(hashes))
-                    same.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()) if sets else b"")
+                    same.append(xxhash.xxh3_128_digest(hashes.tobytes()) if sets else b"")
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(same, pa.binary())], names=["key", "fp", "shingles", "same"])
 
     return given.mapInArrow(run, f"key {kind}, fp binary, shingles bigint, same binary")
@@ -123,7 +125,7 @@ class Grid:
     """Cells of nodes: band of the number of shingles, and population counts of the parts in steps.
 
     A node is the fingerprint's bytes and, where a similarity is asked for, 8 more with the number
-    of shingles and the digest of their set. Without a similarity all are in band 0. limits: radius
+    of distinct shingles and the digest of their set. Without a similarity all are in band 0. limits: radius
     by the smaller number of shingles, none over `radius`.
     """
 
@@ -383,7 +385,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, wid
 
     Two texts are linked if the Jaccard similarity of their sets of shingles is `similarity` or more.
     Only pairs are looked at whose fingerprints of 64 * width bits differ in at most `radius` bits
-    and of which the smaller has at least `similarity` times the shingles of the larger. The default
+    and of which the smaller has at least `similarity` times the distinct shingles of the larger. The default
     radius is the distance that is expected of two sets with that similarity, and DEVIATIONS standard
     deviations more; it is wider for sets of few shingles. Of rows that are equal in all columns one is kept.
     """

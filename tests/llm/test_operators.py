@@ -158,6 +158,12 @@ def test_simhash_confirms_by_exact_similarity(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == want
 
 
+def test_simhash_counts_repeated_shingles_once(spark):
+    base = [" ".join(f"{w}x{i}" for w in t.split()) for i, t in enumerate(random_texts(30)) if len(t.split()) > 40]
+    docs = documents(spark, base + [f"{t} {t}" for t in base] + [f"{t} {t} {t}" for t in base])
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == list(range(len(base)))
+
+
 def test_mixing_targets_and_copies(spark):
     docs = documents(spark, random_texts(300) + [None, ""], source=lambda i: None if i % 7 == 0 else f"s{i % 5}" if i % 3 else "big")
     rows = mixing.copies(docs).collect()

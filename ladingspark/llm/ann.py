@@ -29,6 +29,8 @@ SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 32 << 20
 MOST_LISTS = 32_768
 #: Candidates and queries in one piece of work.
 BLOCK, QUERY_BLOCK = 4096, 512
+#: Rounding that distances in single precision are allowed.
+SLACK = 1e-5
 
 
 @dataclass
@@ -54,14 +56,22 @@ class Model:
             out += table.take(codes[:, p], axis=1)
         return out
 
+    def errors(self, residuals: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distance of each residual from what its code stands for."""
+        parted = self.split(residuals)
+        return np.sqrt(sum(((parted[:, p] - self.books[p][codes[:, p]]) ** 2).sum(axis=1) for p in range(self.parts)))
+
 
-def closest(guess: np.ndarray, most: int) -> np.ndarray:
-    """Places of the `most` least values; of equal ones the first."""
-    if len(guess) <= most:
-        return np.arange(len(guess))
-    edge = np.partition(guess, most - 1)[most - 1]
-    below, level = np.flatnonzero(guess < edge), np.flatnonzero(guess == edge)
-    return np.concatenate([below, level[: most - len(below)]])
+def possible(guess: np.ndarray, errors: np.ndarray, most: int) -> np.ndarray:
+    """Of each query, whether a code may be among its `most` nearest (guess: squared distances; inf: left out).
+
+    A vector is at most its code's error nearer or farther than the code, so that none of the nearest is left out.
+    """
+    if guess.shape[1] <= most:
+        return np.isfinite(guess)
+    high = np.sqrt(np.maximum(guess, 0) + SLACK) + errors
+    low = np.sqrt(np.maximum(guess - SLACK, 0)) - errors
+    return np.isfinite(guess) & (low <= np.partition(high, most - 1, axis=1)[:, most - 1, None] + SLACK)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -81,11 +91,15 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + 4096] @ centres.T - half, axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
 
 
-def unit(x: np.ndarray) -> np.ndarray:
+def exact(x: np.ndarray) -> np.ndarray:
     """Scaled to length 1 by way of the largest component, so that no square under- or overflows."""
     x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return exact(x).astype(np.float32)
 
 
 def cosine(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -152,8 +166,9 @@ def search(embeddings: DataFrame, is_query, k: int = 5, probe: float = 0.8, rera
 
     probe: share of the lists a query looks into (at least 8 lists, and as many more as it takes
     to see k other rows). Vectors without clusters need a large share for a recall of 0.9; with
-    clusters a small one does. rerank: codes of a block that are ranked again exactly. Lists number
-    about the square root of the rows.
+    clusters a small one does. In a block all codes are ranked again exactly that may be among the
+    `rerank` nearest, given the codes' errors (at least that many, if there are). Lists number about
+    the square root of the rows.
     """
     rows = checkpointed(valid(embeddings, id_column, vector_column))
     n = rows.count()
@@ -200,12 +215,19 @@ def search(embeddings: DataFrame, is_query, k: int = 5, probe: float = 0.8, rera
                 ids, stored = ids[order], vectors(have.field("v"), d)[order]
                 codes = np.frombuffer(b"".join(have.field("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
                 asking, q = want.field("query_id").to_numpy(), vectors(want.field("q"), d)
-                guess = m.distances(unit(q) - m.centroids[batch.column("list")[i].as_py()], codes)
+                centre = m.centroids[batch.column("list")[i].as_py()]
+                guess = m.distances(unit(q) - centre, codes)
                 guess[asking[:, None] == ids[None, :]] = np.inf
+                # Rows that share an id count as one: then as many more are needed.
+                repeats = int(np.unique(ids, return_counts=True)[1].max())
+                near = possible(guess, m.errors(unit(stored) - centre, codes), max(rerank, k * repeats))
+                # Cosines of all in one product; only those that rounding can't part from the k-th are worked out alone.
+                close = exact(q) @ exact(stored).T
+                close[~near] = -np.inf
+                edge = np.partition(close, -min(k * repeats, len(ids)), axis=1)[:, -min(k * repeats, len(ids))] - 1e-9
                 out = []
                 for j in range(len(q)):
-                    best = closest(guess[j], rerank)
-                    best = best[ids[best] != asking[j]]
+                    best = np.flatnonzero((close[j] >= edge[j]) & near[j])
                     score = cosine(q[j], stored[best])
                     line = np.lexsort((ids[best], -score))
                     _, firsts = np.unique(ids[best][line], return_index=True)

@@ -276,6 +276,22 @@ def test_ann_recall_and_exact_scores(spark):
     assert ann.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>"), lambda c: c % 50 == 0).count() == 1
 
 
+def test_ann_finds_neighbours_among_near_copies(spark, monkeypatch):
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda rows, n: fit(rows.filter("id >= 2500"), n))  # as if the sample had missed them
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=64)
+    x = np.concatenate([one + 0.02 * rng.normal(size=(2500, 64)), rng.normal(size=(7500, 64))])
+    found = ann.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), lambda c: (c < 2500) & (c % 50 == 0)).collect()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, 2500, 50):
+        near = x @ x[i]
+        near[i] = -2
+        hits += len({r["vec_id"] for r in found if r["query_id"] == i} & set(np.argsort(-near)[:5].tolist()))
+    assert hits / 250 >= 0.95
+
+
 def test_gru_is_a_distribution_and_its_gradient_is_right():
     rng = np.random.default_rng(3)
     base = np.sort(rng.dirichlet(np.ones(300)))[::-1][:200] * 0.9

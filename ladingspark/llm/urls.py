@@ -1,11 +1,13 @@
 """URL filters by a sorted array of digests.
 
 Rules (host, path) become 64-bit xxhash keys, sorted in a file that every task maps into memory.
-A url asks for its host and all parent domains with each path prefix that is as long as some
-rule's; a vectorised binary search finds the keys, and the stored rule itself must then equal
-what was asked, so that a collision can't decide. Defined results: a null url, or one without
-"://", has empty host and path and fits no rule; repeated rows give repeated results; other columns are not looked
-at; without rules every url gets the default verdict.
+A url asks for its host's last labels, as many as some rule's host has, with each path prefix that
+is as long as some rule's; a vectorised binary search finds the keys, and the stored rule itself
+must then equal what was asked, so that a collision can't decide. Defined results: a null url, or
+one without "://", has empty host and path and fits no rule; a url of any length is judged whole,
+and asks no more than there are pairs of such numbers; repeated rows give repeated results; an
+empty table gives no row; other columns are not looked at; without rules every url gets the default
+verdict.
 """
 
 from __future__ import annotations
@@ -100,7 +102,8 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]], id_column: str
     content = digest_file([(h, p, v) for (h, p), v in firm.items()])
     if len(content) > MOST_BYTES:
         raise ValueError(f"the rules take {len(content)} bytes; judge_by_join takes any number")
-    lengths = sorted({len(p) for _, p in firm})
+    lengths, depths = sorted({len(p) for _, p in firm}), sorted({h.count(".") + 1 for h, _ in firm})
+    deepest = max(depths, default=0)
     name = send_file(urls.sparkSession, content)
     rows = parsed(urls, id_column)
     kind = rows.schema[id_column].dataType.simpleString()
@@ -113,9 +116,11 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]], id_column: str
                 hosts, paths = part.column("host").to_pylist(), part.column("path").to_pylist()
                 asked, owner = [], []
                 for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-                    labels = host.split(".") if host else []
-                    for k in range(len(labels)):
-                        parent = ".".join(labels[k:])
+                    labels = host.rsplit(".", deepest) if host else []
+                    for k in depths:
+                        if k > len(labels):
+                            break
+                        parent = ".".join(labels[-k:])
                         for n in lengths:
                             if n <= len(path):
                                 asked.append(f"{parent}\0{path[:n]}")
@@ -138,15 +143,16 @@ def judge_by_join(urls: DataFrame, rules: DataFrame, id_column: str = "page_id",
     """As `judge`, for rules (host, path, verdict) of any number, by a shuffled join on the asked strings.
 
     Distinct (host, path) pairs are judged once, so that a host with many urls is not one task;
-    at most 64 distinct path lengths are taken (ValueError beyond).
+    at most 64 distinct path lengths and 64 numbers of labels are taken (ValueError beyond).
     """
-    lengths = [r[0] for r in rules.select(F.length("path").alias("n")).distinct().limit(65).collect()]
-    if len(lengths) > 64:
-        raise ValueError("rules with more than 64 distinct path lengths")
+    dots = lambda host: F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
+    distinct = lambda n: [r[0] for r in rules.select(n.alias("n")).distinct().limit(65).collect()]
+    lengths, depths = distinct(F.length("path")), distinct(dots(F.col("host")) + 1)
+    if max(len(lengths), len(depths)) > 64:
+        raise ValueError("rules with more than 64 distinct path lengths or numbers of labels")
     rows = parsed(urls, id_column)
     pairs = rows.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
+    parents = F.array_compact(F.array(*[F.when(dots(F.col("host")) >= k - 1, F.substring_index("host", ".", -k)) for k in depths]))
     asked = pairs.filter("host <> ''").withColumn("_h", F.explode(parents)).withColumn("_n", F.explode(F.array(*[F.lit(n) for n in lengths])))
     asked = asked.filter(F.col("_n") <= F.length("path")).withColumn("_p", F.expr("substring(path, 1, _n)"))
     firm = rules.groupBy(F.col("host").alias("_h"), F.col("path").alias("_p")).agg(F.max("verdict").alias("_v"))

@@ -51,10 +51,13 @@ def pieces_of(data: bytes) -> Iterator[bytes]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is named."""
+    """The folder that the cluster names for checkpoints; one of our own only where none is named and all runs on one machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -106,3 +109,23 @@ def beside(rows: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], see
         rows = rows.withColumn("_row_salt", F.pmod(F.xxhash64(*seed), F.lit(salts)).cast("int"))
         out = rows.join(table, [*same, F.col("_row_salt") == F.col("_table_salt")], how).drop("_row_salt", "_table_salt")
     return out.drop(*[b for _, b in on])
+
+
+#: A key is hot if it holds more than one in so many rows; so there are fewer hot keys than this.
+HOT_KEYS = 10_000
+
+
+def beside_hot(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined by key with a table of one row a key, whose column _n counts the key's rows among `total` (it goes).
+
+    The table's rows of hot keys are broadcast (fewer than HOT_KEYS rows), so that no task is given
+    all rows of such a key; the others meet by a shuffle. rows is read twice if a key is hot; it and
+    table should be stored, or cheap to read.
+    """
+    hot = F.col("_n") > total / HOT_KEYS
+    if table.filter(hot).isEmpty():
+        return rows.join(table.drop("_n"), key, how)
+    beside_ = F.broadcast(table.filter(hot).withColumn("_n", F.lit(True)))
+    marked = rows.join(beside_, key, "left")
+    rest = marked.filter(F.col("_n").isNull()).select(*rows.columns).join(table.filter(~hot).drop("_n"), key, how)
+    return marked.filter(F.col("_n").isNotNull()).drop("_n").unionByName(rest)

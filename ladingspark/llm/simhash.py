@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, digest_of, stored, text_of, words_in
+from .common import beside_hot, checkpointed, digest_of, stored, text_of, words_in
 
 #: Fingerprints in a tile, at most.
 TILE = 8192
@@ -172,11 +172,12 @@ def tiles(distinct: DataFrame, grid: Grid) -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grid.cells(batch.column(0).to_pylist()))], names=["node", "cell"])
 
-    placed = distinct.select("node").mapInArrow(cells, "node binary, cell bigint")
+    placed = checkpointed(distinct.select("node").mapInArrow(cells, "node binary, cell bigint"))
     # Blocks by hash: about half a tile each, so that none exceeds it but by extreme chance; the
-    # comparison itself goes in strips and takes any size.
+    # comparison itself goes in strips and takes any size. The number of cells is bounded by the grid
+    # (17**4 for four parts of 64 bits; some 300 with bands of size), so that their sizes are broadcast.
     sizes = placed.groupBy("cell").agg(F.count("*").alias("_n"))
-    joined = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / F.lit(TILE // 2))))
+    joined = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / F.lit(TILE // 2))))
     return joined.groupBy("cell", "block").agg(F.collect_list("node").alias("nodes"))
 
 
@@ -297,22 +298,24 @@ def links(distinct: DataFrame, grid: Grid) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of edges (a, b): root is the least node it is connected to.
+    """node, root for every node of edges (a, b) but the roots: root is the least node it is connected to.
 
     Large star, then small star, until nothing changes. The least neighbour of a node is an
-    aggregate that is combined before the shuffle, and is joined back, so that no task holds
-    all neighbours of a node. Every round is checkpointed.
+    aggregate that is combined before the shuffle; it is broadcast back to the edges of nodes with
+    very many, and meets the others by a shuffle, so that no task holds all neighbours of a hub.
+    Every round is checkpointed.
     """
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    seen, n = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("_m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("_m").alias("v"))).distinct()
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("_m"), F.count("*").alias("_n")).select("u", F.least("u", "_m").alias("_m"), "_n"))
+        large = checkpointed(beside_hot(both.filter(F.col("v") > F.col("u")), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct())
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("_m"), F.count("*").alias("_n")))
+        small = beside_hot(large, least, "u", n).select(F.col("v").alias("u"), F.col("_m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("_m").alias("v"))).distinct()
         now = checkpointed(small)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        n = state[0]
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
@@ -326,7 +329,8 @@ def confirmed_links(texts: DataFrame, grid: Grid, shingle: int, seed: int) -> Da
     """
     sizes = texts.groupBy("root").agg(F.count("*").alias("_n"), F.sum("shingles").alias("_s"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("_n") / SET_BLOCK), F.ceil(F.col("_s") * 8 / SET_BYTES)).cast("int")
-    placed = texts.join(sizes.filter("_n > 1").select("root", blocks.alias("_blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    sizes = checkpointed(sizes.filter("_n > 1").select("root", "_n", blocks.alias("_blocks")))
+    placed = beside_hot(texts, sizes, "root", texts.count()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,12 +363,11 @@ def noded(prints: DataFrame, grid: Grid) -> DataFrame:
     return prints.withColumn("node", F.concat("fp", size, "same") if grid.similarity else F.col("fp"))
 
 
-def grouped(prints: DataFrame, grid: Grid, found: DataFrame | None = None) -> DataFrame:
-    """prints (noded, checkpointed) with root: equal roots, one component. found: the links, if not those of the fingerprints."""
-    edges = links(prints.select("node").distinct(), grid) if found is None else found
-    roots = components(edges).select(F.col("node").alias("_node"), "root")
+def rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes (a row a node) with root: equal roots, one component."""
     # Only nodes with a link have a row in roots; a root itself has none.
-    return prints.join(roots, prints["node"] == roots["_node"], "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
+    roots = roots.select(F.col("node").alias("_node"), "root")
+    return nodes.join(roots, nodes["node"] == roots["_node"], "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, parts: int = 4) -> DataFrame:
@@ -373,11 +376,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     parts: into how many equal parts the fingerprint goes for the tiles' population counts; more
     parts skip more pairs of tiles but send each tile to more partners (4 suits a radius of 2, 1 a wide one).
     """
-    prints = checkpointed(fingerprints(docs, "doc_id", shingle, seed))
     grid = Grid(8, radius, parts, 1, None)
-    named = checkpointed(grouped(noded(prints, grid), grid))
-    ids = named.groupBy(F.col("root").alias("_root")).agg(F.min("key").alias("component_id"))
-    return named.join(ids, F.col("root") == F.col("_root")).select(F.col("key").alias("doc_id"), "fp", "component_id")
+    prints = checkpointed(noded(fingerprints(docs, "doc_id", shingle, seed), grid).select("key", "node"))
+    nodes = checkpointed(prints.groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies")))
+    named = checkpointed(rooted(nodes, components(links(nodes, grid))))
+    ids = checkpointed(named.groupBy("root").agg(F.min("key").alias("component_id"), F.count("*").alias("_n")))
+    named = beside_hot(named.select("node", "root", "copies"), ids, "root", nodes.count())
+    named = checkpointed(named.select("node", "component_id", F.col("copies").alias("_n")))
+    return beside_hot(prints, named, "node", prints.count()).select(F.col("key").alias("doc_id"), F.col("node").alias("fp"), "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4, radius: int | None = None, seed: int = 42) -> DataFrame:
@@ -394,21 +400,27 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, wid
     radius = int(by_size.max())
     grid = Grid(8 * width, radius, 1, radius, similarity, by_size)
     key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), digest_of(docs).alias("digest"))
-    prints = noded(checkpointed(fingerprints(docs, key, shingle, seed, width, sets=True)), grid)
-    # One text of each node that has a proposal.
-    near = grouped(prints, grid).select("node", "root", "shingles", "key.digest")
-    sized = near.groupBy("root").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).filter("_low <> _high").select("root")
-    asked = checkpointed(near.join(sized, "root").groupBy("node").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles"), F.min("digest").alias("digest")))
-    texts = docs.select(digest_of(docs).alias("digest"), text_of().alias("text")).join(asked, "digest")
+    prints = checkpointed(noded(fingerprints(docs, key, shingle, seed, width, sets=True), grid).select("key", "node", "shingles"))
+    nodes = checkpointed(prints.groupBy("node").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles")))
+    # One text of each node that has a proposal, and how many rows are equal to the one it is taken from.
+    near = components(links(nodes, grid))
+    near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    rows = prints.groupBy("key").agg(F.count("*").alias("_n"))
+    counted = checkpointed(rows.select("key.digest", F.col("key.id").alias("_id"), "_n"))
+    total = prints.count()
+    asked = near.join(nodes, "node").select("node", "root", "shingles", "key.digest").join(counted.select("digest", "_n"), "digest")
+    texts = beside_hot(docs.select(digest_of(docs).alias("digest"), text_of().alias("text")), checkpointed(asked), "digest", total)
     texts = stored(texts.groupBy("node").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles"), F.first("text").alias("text")))
-    named = grouped(prints, grid, confirmed_links(texts, grid, shingle, seed))
+    named = rooted(nodes, components(confirmed_links(texts, grid, shingle, seed)))
     best = named.groupBy("root").agg(F.min("key").alias("key")).select("key.*")
     # Keys number rows; a key that stands for several equal rows is found by counting, so that
     # only such rows have to be brought together.
-    many = prints.groupBy("key").agg(F.count("*").alias("_n")).select("key.digest", F.col("key.id").alias("_id"), "_n")
-    chosen = checkpointed(best.join(many, (best["digest"] == many["digest"]) & best["id"].eqNullSafe(many["_id"])).select(best["digest"].alias("_digest"), F.col("_n").alias("_copies")))
+    chosen = best.join(counted, (best["digest"] == counted["digest"]) & best["id"].eqNullSafe(counted["_id"]))
+    chosen = checkpointed(chosen.select(best["digest"].alias("_key"), "_n", F.col("_n").alias("_copies")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), digest_of(docs).alias("_key"))
-    joined = rows.join(chosen, F.col("_key") == F.col("_digest"))
+    joined = beside_hot(rows, chosen, "_key", total)
+    if chosen.filter("_copies > 1").isEmpty():
+        return joined.select("_row.*")
     single = joined.filter("_copies = 1").select("_row")
     # Equal rows take any one of them; the row is counted before the shuffle.
     several = joined.filter("_copies > 1").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row")

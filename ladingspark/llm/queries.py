@@ -104,6 +104,22 @@ select doc_id, size::bigint as size, source_size, target, (size * (floor(rate) +
 """
 
 
+def op9_sql() -> str:
+    """All prefixes of all depths, and which of them are closed below one that is not."""
+    null = "'93b885adfe0da089cdf634904fd59f71'"  # the digest that stands for a null
+    digest = f"md5(coalesce(md5(doc_id::varchar), {null}) || ':' || coalesce(md5(text), {null}))"
+    return f"""
+with d as (select doc_id, strlen(coalesce(text, ''))::bigint as n_bytes, {digest} as digest from documents),
+h as (select *, ('0x' || substring(digest, 1, 15))::bigint as hash from d),
+p as (select depth, hash >> (60 - depth) as prefix, sum(n_bytes) as bytes, min(hash) = max(hash) as equal from h, range(0, 61) as r(depth) group by 1, 2),
+c as (select *, bytes <= {SHARD_BYTES} or equal as closed from p),
+s as (select c.* from c left join c as up on up.depth = c.depth - 1 and up.prefix = c.prefix >> 1 where c.closed and (c.depth = 0 or not up.closed)),
+x as (select h.*, depth, bytes, bytes > {SHARD_BYTES} as paged, case when depth = 0 then '*' else lpad(bin(prefix), depth::int, '0') end as shard, greatest(1, {SHARD_BYTES} // greatest(n_bytes, 1)) as fit,
+  row_number() over (partition by digest) - 1 as copy, count(*) over (partition by digest) as copies from h join s on prefix = hash >> (60 - depth))
+select doc_id, n_bytes, shard, case when paged then copy // fit else 0 end::bigint as page, case when paged then n_bytes * least(fit, copies - copy // fit * fit) else bytes end::bigint as shard_bytes, paged and n_bytes > {SHARD_BYTES} as oversize from x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL twins. The others can't be said in SQL: tests/llm holds them against brute force or the libraries."""
-    return {"op4_url_filter": OP4_SQL, "op5_mixing": OP5_SQL}
+    return {"op4_url_filter": OP4_SQL, "op5_mixing": OP5_SQL, "op9_sharding": op9_sql()}

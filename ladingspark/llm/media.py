@@ -3,8 +3,8 @@
 The payload is the text's UTF-8 bytes, padded with byte 255 to a positive multiple of 576, as
 rows of 576 8-bit grey samples. The file is built and read chunk by chunk: each chunk's length,
 type and checksum are tested, the rows come out of zlib and are unfiltered with numpy. Defined
-results: a null text is empty (one padded row); repeated rows give repeated results; other
-columns are not looked at.
+results: a null text is empty (one padded row); a text of any length is one file, read back whole;
+repeated rows give repeated results; an empty table gives no row; other columns are not looked at.
 """
 
 from __future__ import annotations

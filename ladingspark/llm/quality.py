@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, checkpointed, text_of, words_in
+from .common import beside, checkpointed, stored, text_of, words_in
 
 #: Labelled rows the classifier is fitted on (those with the least hash of their id).
 LABELLED_ROWS = 20_000
@@ -208,15 +208,15 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     A document's log odds are its own evidence (its logit less the prior it was fitted with) plus
     the log odds of its section's posterior rate. It is rejected if the chance that it is low or
-    toxic exceeds the threshold. The texts are read twice, once for the rates, rather than kept.
+    toxic exceeds the threshold. What the documents alone give is worked out once and stored beside `row`.
     """
     model = fit(docs, labels, most_labelled)
     named = docs.select(F.struct("doc_id", *[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{path}`").cast("string").alias("path"), text_of().alias("text"))
     columns = [c for h in HEADS for c in (f"p_{h}", f"{h}_host_rate", f"{h}_path_rate")]
     if model is None:
         return named.select("row", "host", "path", *[F.lit(0.0).alias(c) for c in columns], F.lit(False).alias("rejected"))
-    rates = posteriors(scored(named, model, ["host", "path"]))
-    out = beside(scored(named, model, ["row", "host", "path"]), rates, [("host", "_host"), ("path", "_path")], ["row.doc_id"])
+    own = stored(scored(named, model, ["row", "host", "path"]))
+    out = beside(own, posteriors(own.select("host", "path", *[f"{h}_logit" for h in HEADS])), [("host", "_host"), ("path", "_path")], ["row.doc_id"])
     for h in HEADS:
         rate = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col(f"{h}_path_rate")))
         z = F.col(f"{h}_logit") - F.lit(model.prior[h]) + F.log(rate / (1 - rate))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from ladingspark.operators import agent, classify, clean, contracts, extract, pages, papers, retrieve, validate
-from ladingspark.plans import document
+from ladingspark.plans import document, judgement
 from ladingspark.sources import readers, store
 
 REPAIRS = [
@@ -179,3 +181,77 @@ def test_papers_of_every_kind_keep_their_rows(spark):
     got = {r["doc_id"]: r for r in document.summaries(document.read_papers(rows)).collect()}
     assert sorted(got) == [1, 2, 3, 4, 5]
     assert got[1]["doc_type"] == "CommercialInvoice" and got[4]["doc_type"] == "BillOfLading" and got[2]["doc_type"] == "Unknown"
+
+
+def test_nearest_by_pieces_and_blocks(spark, monkeypatch):
+    """Copies tie to the smaller id whatever piece they are in; queries of other lengths, blank and null ones find nothing."""
+    vectors = [(i, [float(i % 5), 1.0, float(i % 3)], f"J{i % 2}", "C1") for i in range(90)] + [(200, [1.0], "J0", "C1")]
+    asked = [(q, [1.0, 1.0, float(q % 2)], "J0, J7" if q % 3 else None, "C1" if q % 2 else None) for q in range(12)] + [(50, [1.0, 2.0], None, None), (51, None, None, None), (52, [0.0, 0.0, 0.0], None, None)]
+    given = spark.createDataFrame(vectors, "article_id long, embedding array<double>, jurisdiction string, category string")
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>, jurisdiction string, category string")
+    want = []
+    for q, v, place, _ in asked[:12]:
+        cosine = lambda x, v=v: sum(a * b for a, b in zip(x, v, strict=True)) / (sum(a * a for a in x) * sum(b * b for b in v)) ** 0.5
+        near = sorted((round(1 - cosine(x), 12), i) for i, x, j, _ in vectors[:90] if place is None or j == "J0")[:4]
+        want += [(q, k + 1, i) for k, (_, i) in enumerate(near)]
+    for piece, block in ((16_384, 2048), (7, 3)):
+        monkeypatch.setattr(retrieve, "PIECE_ROWS", piece)
+        monkeypatch.setattr(retrieve, "BLOCK_QUERIES", block)
+        assert sorted((r["query_id"], r["rank"], r["article_id"]) for r in retrieve.nearest(queries, given, 4).collect()) == want
+
+
+def test_drafts_are_kept_where_the_model_changes_its_mind(spark):
+    """Each answer of the model differs from the last; no row is lost or doubled, and a reply is asked for once a draft."""
+    write = lambda s: s.withColumn("judgment", F.uuid())
+    review = lambda s: s.withColumn("reply", F.when(F.rand() < 0.5, F.concat(F.lit("PASS "), "judgment")).otherwise(F.concat(F.lit("수정 지시: "), "judgment")))
+    out = agent.drafted(spark.range(200).withColumnRenamed("id", "n"), write, review)
+    first, again = (sorted((r["n"], r["judgment"], r["critic_feedback"], r["resolve_count"]) for r in out.collect()) for _ in range(2))
+    assert first == again and [r[0] for r in first] == list(range(200))
+    assert {r[3] for r in first} == {1, 2} and all(r[2] in ("PASS", r[1]) for r in first) and all(r[2] == "PASS" for r in first if r[3] == 1)
+
+
+def test_from_papers_to_verdict(spark):
+    law = {
+        "vectors": spark.createDataFrame([(1, [1.0, 0.0], "KR", "C"), (2, [0.0, 1.0], "KR", "C")], "article_id long, embedding array<double>, jurisdiction string, category string"),
+        "articles": spark.createDataFrame([(1, 7, "1", "first"), (2, 7, "2", "second")], "article_id long, law_id long, article_no string, content string"),
+        "laws": spark.createDataFrame([(7, "Trade Act", "KR")], "law_id long, law_name string, jurisdiction string"),
+        "metadata": spark.createDataFrame([(1, "C", True, "why", "s"), (2, "C", False, "why", "s")], "article_id long, category string, is_mandatory boolean, analysis_reason string, source_type string"),
+        "edges": spark.createDataFrame([(1, 2)], "source_id long, target_id long"),
+    }
+    papers_ = spark.createDataFrame([(1, ' {"document_type": "SalesContract", "lc_amount": 10, "total_amount": 11} ', "be strict"), (2, "{}", None)], "query_id long, payload string, special string")
+    prepare = lambda s: s.withColumn("prep", F.lit("<query>liability?</query><jurisdiction>KR</jurisdiction>"))
+    embed = lambda s: s.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.1)))
+    got = {r["query_id"]: r for r in judgement.analyze_documents(papers_, prepare, embed, law, preferences="prefs").collect()}
+    assert got[1]["judgment"] == "위험" and got[2]["judgment"] == "주의"
+    assert (got[1]["instruction"], got[2]["instruction"]) == ("A", "B")
+    assert got[1]["context"].startswith("Source: Trade Act (Art. 1)\nContent: first") and "second" in got[1]["context"]
+    assert "### [이번 분석 특별 지시]\nbe strict\n\nprefs" in got[1]["request"] and got[2]["request"].endswith("prefs")
+    assert "[1단계: 서류 사전 분석]" in got[1]["verdict"] and got[1]["verdict"].count("위험") == 1
+    assert judgement.analyze_documents(papers_.limit(0), prepare, embed, law).count() == 0
+
+
+def test_payload_escapes_names(spark):
+    rows = spark.createDataFrame([(1, 'a"b\\c', "Invoice", {"k": 'v"'}, "t")], "deal_id long, doc_id string, doc_type string, fixed_fields map<string,string>, text string")
+    got = json.loads(document.payload(rows).first()["payload"])
+    assert got == [{"filename": 'a"b\\c', "data": {"document_type": "Invoice", "key_fields": {"k": 'v"'}, "text": "t"}}]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [("COMMERCIAL INVOICE\nUnit Price", "CommercialInvoice"), ("PROFORMA INVOICE", "ProformaInvoice"), ("PACKING LIST\nGross Weight", "PackingList"), ("BILL OF LADING\nShipper Consignee", "BillOfLading"), ("IRREVOCABLE DOCUMENTARY CREDIT", "LetterOfCredit"), ("PURCHASE ORDER\nVendor", "PurchaseOrder"), ("매매계약서 제1조", "SalesContract")],
+)
+def test_kinds_by_hand(spark, text, kind):
+    assert classify.classify(one(spark, text)).first()["doc_type"] == kind
+
+
+def test_forms_and_rejected_values(spark):
+    """Layouts that the rendered papers don't have: labels beside values in one line, a block of parties, labels where values should be."""
+    texts = ("2. SHIPPER ALPHA TRADING CO., LTD", "3. CONSIGNEE BETA IMPORT GMBH", "VESSEL / VOYAGE NO.: COSCO PIONEER / 123E", "POL BUSAN PORT\tPOD HAMBURG PORT")
+    fields = [papers.parse_lading(one(spark, t)).first()["key_fields"] for t in texts]
+    assert fields[0]["shipper"] == "ALPHA TRADING CO., LTD" and fields[1]["consignee"] == "BETA IMPORT GMBH"
+    assert (fields[2]["vessel"], fields[2]["voyage"]) == ("COSCO PIONEER", "123E")
+    assert (fields[3]["port_of_loading"], fields[3]["port_of_discharge"]) == ("BUSAN PORT", "HAMBURG PORT")
+    invoice = papers.parse_invoice_like(one(spark, "INVOICE NO / DATE INV-2026-001 2026-01-05\nParties\nALPHA TRADING\nTel: 02-123-4567\nBETA IMPORT\nEUR 500\n"), "CommercialInvoice").first()["key_fields"]
+    assert (invoice["invoice_no"], invoice["date"], invoice["seller"], invoice["buyer"], invoice["currency"]) == ("INV-2026-001", "2026-01-05", "ALPHA TRADING", "BETA IMPORT", "EUR")
+    assert "shipper" not in papers.parse_lading(one(spark, "Shipper: Consignee\n")).first()["key_fields"]
+    assert "applicant" not in papers.parse_credit(one(spark, "Applicant: Beneficiary\n")).first()["key_fields"]

@@ -23,6 +23,8 @@ OTHER_ICON = "⚠️ ["
 NO_DEFECT = "✅ 수치 및 날짜상 명백한 하자는 발견되지 않았습니다.\n"
 FACTS_TITLE, DEAL_TITLE, INPUT_TITLE = "### 🚨 [시스템 팩트 체크 결과]\n", "### 📋 [기본 거래 정보 요약]\n", "### 📊 [Input Data Summary]\n"
 RISKS = ("위험", "주의", "적합")
+VERDICT_RULE, VERDICT_TITLE, PREP_TITLE, JUDGMENT_TITLE = "═" * 60, "⚖️  최종 법적 판단", "📋 [1단계: 서류 사전 분석]", "⚖️  [최종 판정]"
+SPECIAL_TITLE = "### [이번 분석 특별 지시]"
 NO_RISK = "적합"
 
 #: Pages.

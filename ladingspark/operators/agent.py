@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalogs import policy as P
+from ..functions.tables import kept
 
 Writer = Callable[[DataFrame], DataFrame]
 
@@ -70,7 +71,15 @@ REQUEST = "{instruction}\n\nQuestion: {query}\n\nFacts:\n{facts}\n\nArticles:\n{
 
 
 def with_preferences(preferences: str, special: Column) -> Column:
-    return F.when(F.coalesce(special, F.lit("")) != "", F.concat(F.lit("### "), special, F.lit("\n\n"), F.lit(preferences))).otherwise(F.lit(preferences))
+    return F.when(F.coalesce(special, F.lit("")) != "", F.concat(F.lit(f"{P.SPECIAL_TITLE}\n"), special, F.lit("\n\n"), F.lit(preferences))).otherwise(F.lit(preferences))
+
+
+def verdict_text(judgment: str, prep: str | None = None) -> Column:
+    """The verdict as it is shown: rules and headings, the preparation only if there is one."""
+    head = F.lit(f"{P.VERDICT_RULE}\n{P.VERDICT_TITLE}\n{P.VERDICT_RULE}\n")
+    before = F.lit("") if prep is None else F.when(F.coalesce(F.col(prep), F.lit("")) != "", F.concat(F.lit(f"\n{P.PREP_TITLE}\n"), F.col(prep), F.lit("\n"))).otherwise("")
+    said = F.when(F.col(judgment).isNotNull(), F.concat(F.lit(f"\n{P.JUDGMENT_TITLE}\n"), F.col(judgment), F.lit("\n"))).otherwise("")
+    return F.concat(head, before, said, F.lit(P.VERDICT_RULE))
 
 
 def verdict(checks: list[str]) -> Column:
@@ -83,12 +92,13 @@ def drafted(states: DataFrame, write: Writer, review: Writer, most: int = P.MOST
     """states with judgment, critic_feedback and resolve_count after at most `most` drafts.
 
     write adds `judgment`, review adds `reply`; a state is done once the reply says PASS. All states go through the same
-    fixed number of steps, in which those that are done are left alone.
+    fixed number of steps, in which those that are done are left alone. What a step gives is stored, so
+    that the model is asked once for each draft and a reply can't change afterwards.
     """
-    out = states.withColumn("judgment", F.lit("")).withColumn("critic_feedback", F.lit(None).cast("string")).withColumn("resolve_count", F.lit(0))
+    out = kept(states.withColumn("judgment", F.lit("")).withColumn("critic_feedback", F.lit(None).cast("string")).withColumn("resolve_count", F.lit(0)))
     for _ in range(most):
         done = F.coalesce(F.col("critic_feedback") == "PASS", F.lit(False))
         open_ = review(write(out.filter(~done).drop("judgment")))
         open_ = open_.withColumn("critic_feedback", feedback("reply")).withColumn("resolve_count", F.col("resolve_count") + 1)
-        out = out.filter(done).unionByName(open_.select(*out.columns))
+        out = kept(out.filter(done).unionByName(open_.select(*out.columns)))
     return out

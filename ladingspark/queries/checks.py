@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import folder, kept
 from ..operators import clean, pages, retrieve, validate
-from ..plans import render
+from ..plans import judgement, render
 from ..sources import readers, store
 from ..streaming import folder as stream
+from .texts import _PLAIN, _WS
 
 
 def check_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def deal_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = F.when(F.col("doc_id") % 3 == 0, F.lit("1998-01-01")).when(F.col("doc_id") % 3 == 1, F.lit("")).otherwise(F.lit("1996-06-30"))
     cover = F.when(F.col("doc_id") % 5 == 0, F.lit("110%")).when(F.col("doc_id") % 5 == 1, F.lit("110.5%")).when(F.col("doc_id") % 5 == 2, F.lit("100 %")).otherwise(F.lit("99% of value"))
     checked = d.select("doc_id", validate.check_amounts(credit, F.col("total_text")).alias("amounts"), validate.check_dates(F.col("date"), latest).alias("dates"), validate.check_insurance(cover).alias("insurance"))
-    return validate.long_checks(checked, "doc_id", ["amounts", "dates", "insurance"]).select("doc_id", "check", "status", F.md5(F.when(F.col("status") != "FAIL", "").otherwise("x")).alias("mark"))
+    return validate.long_checks(checked, "doc_id", ["amounts", "dates", "insurance"]).select("doc_id", "check", "status", "message")
 
 
 def check_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def check_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('", "items": [{"quantity": 2, "unit_price": "1,000.50", "amount": 2001}]}, "insurance": {"coverage": "120%"}, "exporter": {"name": "'), F.col("seller"), F.lit('"}}]'),
     )
     out = validate.check_payload(d.select("doc_id", body.alias("json")), "doc_id")
-    return out.select("doc_id", *[F.col(f"{c}.status").alias(c) for c in ("arithmetic", "insurance", "amounts", "dates")], F.contains("report", F.lit("❌")).alias("has_defect"), F.contains("report", F.col("doc_id").cast("string")).isNotNull().alias("has_report"))
+    return out.select("doc_id", *[F.col(f"{c}.status").alias(c) for c in ("arithmetic", "insurance", "amounts", "dates")], "report")
 
 
 def across_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = law(spark, sf_dir)
-    seeds = t["articles"].filter("article_id % 10 = 0").select(F.col("article_id").alias("query_id"), "article_id", F.lit(1).alias("place"))
+    seeds = t["articles"].select(F.col("article_id").alias("query_id"), "article_id", F.lit(1).alias("place"))
     return retrieve.neighbours(seeds, t["edges"]).select("query_id", "article_id")
 
 
@@ -101,7 +102,7 @@ def hybrid_search_score_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mandatory_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A map of rules read from CSV with a byte-order mark and a list of articles, met with findings."""
-    path = f"{tempfile.mkdtemp() if not spark.conf.get('spark.checkpoint.dir', None) else folder(spark)}/rules-csv"
+    path = f"{folder(spark)}/rules-{uuid.uuid4().hex}"
     lines = ["Jurisdiction,Law,Article/Section,Provision Summary,Case,Application Example", 'J1,Law 1,"1, 2",Summary one,Case,Example', "J2,Law 2,3,Summary two,Case,Example"]
     spark.createDataFrame([("﻿" + "\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     rules = readers.rule_map(spark, path)
@@ -111,8 +112,8 @@ def mandatory_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents cut into pages of 20 lines, with made-up blocks and confidences."""
-    docs = render.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+    """Documents cut into pages of 20 lines, with made-up blocks and confidences; a null text is one empty page."""
+    docs = render.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = lines.groupBy("doc_id", F.floor(F.col("pos") / 20).alias("_p")).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
     return rows.select("doc_id", (F.col("_p") + 1).alias("page_number"), F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("raw_text"), F.size("_l").cast("bigint").alias("n_blocks"), ((F.col("doc_id") % 50) / 100 + 0.5).alias("avg_confidence"))
@@ -148,6 +149,25 @@ def merge_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.choose_text(rows).select("doc_id", "page_number", "chosen", F.regexp_extract("decision_reason", r"^[a-z_]+", 0).alias("reason"))
 
 
+def hybrid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a text layer with a merged reading that is missing, blank, short or good."""
+    p = pages_of(spark, sf_dir)
+    merged = F.when(F.col("doc_id") % 5 == 1, F.lit(" \n\t ")).when(F.col("doc_id") % 5 == 2, F.substring("raw_text", 1, 10)).when(F.col("doc_id") % 5 > 2, F.concat(F.lit("merged "), F.col("raw_text")))
+    out = pages.hybrid_pages(p.withColumn("merged_text", merged), is_image=F.col("doc_id") % 7 < 5)
+    return out.select("doc_id", "page_number", "mode", F.md5("final_text").alias("text_md5"))
+
+
+def judge_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From questions and payloads to verdicts, by the checks alone: search, facts, drafts and their review."""
+    t = law(spark, sf_dir)
+    k = F.col("query_id")
+    items = F.when(k % 300 == 100, F.lit("")).otherwise(F.lit('"items":[{"quantity":2,"unit_price":50,"amount":100}],'))
+    payload = F.concat(F.lit('{"document_type":"'), F.when(k % 200 == 0, "SalesContract").otherwise("LetterOfCredit"), F.lit('",'), items, F.lit('"lc_amount":"'), F.when(k % 300 == 200, "99").otherwise("100"), F.lit('","total_amount":"100","insurance":"110%","dates":{"bl_date":"2026-01-01","latest_shipment_date":"2026-01-02"}}'))
+    asked = t["queries"].withColumn("query", F.concat(F.lit("question "), k.cast("string"))).withColumn("payload", payload).withColumn("special", F.lit(None).cast("string"))
+    out = judgement.run(asked, {name: df for name, df in t.items() if name != "queries"})
+    return out.select("query_id", "instruction", "judgment", "critic_feedback", F.col("resolve_count").cast("bigint").alias("drafts"), "context", "verdict")
+
+
 def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = render.deals(spark, sf_dir)
     part = lambda no, title, text: F.struct(F.lit(no).cast("int").alias("article"), F.lit(True).alias("is_article_title"), F.lit("TEXT").alias("type"), F.array(F.struct(F.concat(F.lit(title), text).alias("text"))).alias("contents"))
@@ -214,7 +234,8 @@ degree as (select article_id, count(*) as degree from ends group by 1)
 """
 
 
-def _search_sql(order: str) -> str:
+def _found_sql(order: str) -> str:
+    """The search as far as r: all results of each query with their places."""
     return _LAW + f""", hits as (select query_id, n.article_id, rank, 'Law ' || (n.article_id % 20) as law_name, n.article_id % 3 = 0 as mandatory, round((1 - distance) * 100, 2) as base, coalesce(degree, 0) as degree
   from n left join degree using (article_id) where rank <= 20 and n.article_id % 20 < 19 and exists (select 1 from e where vec_id = n.article_id)),
 s as (select *, least(base + case when mandatory then 15 else 0 end + least(5 * degree, 15), 100) as score, 'why' as reason from hits),
@@ -222,36 +243,87 @@ p as (select *, row_number() over (partition by query_id order by {order}) as pl
 near as (select p.query_id, other as article_id, min(place) as seed_place, arg_min(p.article_id, place) as seed from p join ends using (article_id) where place <= 3 group by 1, 2),
 added as (select query_id, article_id, seed_place, seed from near where article_id % 20 < 19 and article_id in (select vec_id from e) and not exists (select 1 from p where p.query_id = near.query_id and p.article_id = near.article_id)),
 u as (select query_id, article_id, law_name, score, reason, 0 as behind, place as a from p union all select query_id, article_id, 'Law ' || (article_id % 20), 75, 'Graph Neighbor of ' || seed, 1, seed_place from added),
-r as (select *, row_number() over (partition by query_id order by behind, a, article_id) as place from u)
-select query_id, place, article_id, law_name, round(score, 2)::double as score, reason from r where place <= 10"""
+r as (select *, row_number() over (partition by query_id order by behind, a, article_id) as place from u)"""
+
+
+def _search_sql(order: str) -> str:
+    return _found_sql(order) + " select query_id, place, article_id, law_name, round(score, 2)::double as score, reason from r where place <= 10"
+
+
+_PAGES = "with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as pos from documents), p as (select doc_id, pos // 20 + 1 as page_number, string_agg(line, chr(10) order by pos) as raw_text, count(*) as n_blocks, (doc_id % 50) / 100 + 0.5 as conf from l group by doc_id, pos // 20)\n"
+
+
+
+def _odd(column: str) -> str:
+    return f"case when length({column}) = 0 then 1.0 else length(regexp_replace({column}, '{_PLAIN}', '', 'g'))::double / length({column}) end"
+
+
+def _articles(column: str) -> str:
+    return f"len(list_distinct(regexp_extract_all({column}, '제\\s*(\\d+)\\s*조', 1)))"
+
 
+_MEASURED = _PAGES + f", m as (select *, length(raw_text) as n, {_odd('raw_text')} as odd, {_articles('raw_text')} as articles from p)"
 
-_PAGES = "with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents where text is not null), p as (select doc_id, pos // 20 + 1 as page_number, string_agg(line, chr(10) order by pos) as raw_text, count(*) as n_blocks, (doc_id % 50) / 100 + 0.5 as conf from l group by doc_id, pos // 20)\n"
+#: The report on a payload, line by line.
+_REPORT = """'### 📋 [기본 거래 정보 요약]' || chr(10) || '| 항목 | 내용 |' || chr(10) || '| :--- | :--- |' || chr(10)
+  || '| **수출자** | KOREA TRADING ' || (doc_id % 97) || ' CO., LTD |' || chr(10) || '| **수입자** | 미확인 |' || chr(10) || '| **선적항 / 하역항** | 미확인 / 미확인 |' || chr(10) || '| **거래 조건 (Incoterms)** | 미확인 |' || chr(10)
+  || '| **거래 금액** | ' || trim(format('{:,.2f}', total::double)) || ' USD |' || chr(10) || '| **선적 기한 / 실제 선적** | 1997-01-01 / ' || date || ' |' || chr(10) || chr(10) || chr(10)
+  || '### 🚨 [시스템 팩트 체크 결과]' || chr(10)
+  || case when abs(2001 - total) > 0.01 then '❌ [결함 적발] 총액 불일치: 상세 합계(2001.0) != 명시된 총액(' || total::double || '). OCR 인식 오류(콤마 유실 등)가 의심됩니다.' else '✅ [정상 확인] 문서 내 수치 산술 정합성 확인 완료 (상세 합계와 총액 일치)' end || chr(10)
+  || '✅ [정상 확인] 보험 부보율 적정: 120%' || chr(10)
+  || case when total > 200000 then '❌ [결함 적발] Invoice 금액(' || total::double || ')이 LC 금액(200000.0)을 초과합니다.' else '✅ [정상 확인] LC/Invoice 금액 정합성 확인 (' || total::double || ' <= 200000.0)' end || chr(10)
+  || case when date > '1997-01-01' then '❌ [결함 적발] 지연 선적 발생: 선적 마감일(1997-01-01)보다 선적일(' || date || ')이 늦습니다.' else '✅ [정상 확인] 선적일 적정 (' || date || ' <= 1997-01-01)' end || chr(10)
+  || case when abs(2001 - total) > 0.01 or total > 200000 or date > '1997-01-01' then '' else '✅ 수치 및 날짜상 명백한 하자는 발견되지 않았습니다.' || chr(10) end || chr(10)
+  || '### 📊 [Input Data Summary]' || chr(10) || '- Incoterms: None' || chr(10) || '- L/C Amount: 200,000' || chr(10) || '- Invoice Total: ' || trim(format('{:,.2f}', total::double)) || chr(10) || '- Insurance: 120%' || chr(10)"""
 
 QUERIES = {
     "check_arithmetic": (check_arithmetic, _LINES + "select doc_id, case when doc_id % 5 = 3 then 'FAIL' when bool_or(wrong = 1) then 'WARNING' else 'PASS' end as status from i group by doc_id"),
     "deal_checks": (deal_checks, _DEAL + """, c as (
-  select doc_id, 'amounts' as "check", case when doc_id % 4 = 0 then 'UNKNOWN' when doc_id % 4 = 1 then 'ERROR' when total > 150000 then 'FAIL' else 'PASS' end as status from d union all
-  select doc_id, 'dates', case when doc_id % 3 = 1 then 'UNKNOWN' when date > case when doc_id % 3 = 0 then '1998-01-01' else '1996-06-30' end then 'FAIL' else 'PASS' end from d union all
-  select doc_id, 'insurance', case doc_id % 5 when 0 then 'PASS' when 2 then 'UNKNOWN' else 'FAIL' end from d)
-select *, md5(case when status <> 'FAIL' then '' else 'x' end) as mark from c"""),
+  select doc_id, 'amounts' as "check", case when doc_id % 4 = 0 then 'UNKNOWN' when doc_id % 4 = 1 then 'ERROR' when total > 150000 then 'FAIL' else 'PASS' end as status,
+    case when doc_id % 4 = 0 then '금액 정보(LC/Invoice)가 누락되었습니다.' when doc_id % 4 = 1 then '금액 데이터 형식이 올바르지 않습니다.'
+      when total > 150000 then 'Invoice 금액(' || total::double || ')이 LC 금액(150000.0)을 초과합니다.' else 'LC/Invoice 금액 정합성 확인 (' || total::double || ' <= 150000.0)' end as message from d union all
+  select doc_id, 'dates', case when doc_id % 3 = 1 then 'UNKNOWN' when date > latest then 'FAIL' else 'PASS' end,
+    case when doc_id % 3 = 1 then '선적 관련 날짜가 누락되었습니다.' when date > latest then '지연 선적 발생: 선적 마감일(' || latest || ')보다 선적일(' || date || ')이 늦습니다.' else '선적일 적정 (' || date || ' <= ' || latest || ')' end
+    from (select *, case when doc_id % 3 = 0 then '1998-01-01' else '1996-06-30' end as latest from d) union all
+  select doc_id, 'insurance', case doc_id % 5 when 0 then 'PASS' when 2 then 'UNKNOWN' else 'FAIL' end,
+    case doc_id % 5 when 0 then '보험 부보율 적정: 110%' when 1 then '보험 부보율 부족: 5% (최소 110% 필요)' when 2 then '보험 부보율 정보를 찾을 수 없습니다.' else '보험 부보율 부족: 99% (최소 110% 필요)' end from d)
+select * from c"""),
     "check_policy": (check_policy, _DEAL + """select doc_id, 'no_fob_by_air' as rule, case when doc_id % 3 = 2 then 'UNKNOWN' when doc_id % 2 = 0 and doc_id % 3 = 0 then 'FAIL' else 'PASS' end as status from d union all
   select doc_id, 'one_currency', case when doc_id % 7 = 0 then 'FAIL' else 'PASS' end from d union all
   select doc_id, 'cover', case when doc_id % 3 = 2 then 'UNKNOWN' when doc_id % 3 = 1 and doc_id % 5 = 0 then 'FAIL' else 'PASS' end from d union all
   select doc_id, 'one_name', case when doc_id % 11 = 0 then 'FAIL' else 'PASS' end from d"""),
-    "check_payload": (check_payload, _DEAL + "select doc_id, case when abs(2001 - total) > 0.01 then 'FAIL' else 'PASS' end as arithmetic, 'PASS' as insurance, case when total > 200000 then 'FAIL' else 'PASS' end as amounts, case when date > '1997-01-01' then 'FAIL' else 'PASS' end as dates, abs(2001 - total) > 0.01 or total > 200000 or date > '1997-01-01' as has_defect, true as has_report from d"),
+    "check_payload": (check_payload, _DEAL + "select doc_id, case when abs(2001 - total) > 0.01 then 'FAIL' else 'PASS' end as arithmetic, 'PASS' as insurance, case when total > 200000 then 'FAIL' else 'PASS' end as amounts, case when date > '1997-01-01' then 'FAIL' else 'PASS' end as dates, " + _REPORT + " as report from d"),
     "across_papers": (across_papers, _DEAL + "select doc_id as deal_id, case when total > 150000 then 'FAIL' else 'PASS' end as status, 'USD' as lc_currency from d"),
     "knn": (knn, _LAW + "select query_id, article_id, rank, round(distance, 6) as distance from n where rank <= 10"),
     "graph_degree": (graph_degree, _LAW + "select article_id, degree from degree"),
-    "graph_expand": (graph_expand, _LAW + "select distinct article_id as query_id, other as article_id from ends where article_id % 10 = 0 and article_id in (select vec_id from e)"),
+    "graph_expand": (graph_expand, _LAW + "select distinct article_id as query_id, other as article_id from ends where article_id in (select vec_id from e)"),
     "hybrid_search_vector_order": (hybrid_search_vector_order, _search_sql("rank")),
     "hybrid_search_score_order": (hybrid_search_score_order, _search_sql("score desc, rank")),
     "mandatory_rules": (mandatory_rules, "select vec_id, (vec_id % 4)::varchar as article_no, case vec_id % 3 when 1 then 'Summary one' else 'Summary two' end as summary from embeddings where (vec_id % 3 = 1 and vec_id % 4 in (1, 2)) or (vec_id % 3 = 2 and vec_id % 4 = 3)"),
     "page_stats": (page_stats, _LINES + "select doc_id, count(*) as n_blocks, sum(case when pos % 5 < 2 then 1 else 0 end)::bigint as n_low, round(avg((pos % 5) / 10 + 0.5), 6) as confidence, md5(string_agg('Part number ' || l_partkey || 'A', chr(10) order by pos desc)) as text_md5 from i group by doc_id"),
     "doc_stats": (doc_stats, _PAGES + "select doc_id, count(*) as n_pages, sum(n_blocks)::bigint as total_blocks, sum(length(raw_text))::bigint as total_chars, round(sum(conf * n_blocks) / sum(n_blocks), 6) as confidence, (sum(length(raw_text)) + 2 * (count(*) - 1))::bigint as full_chars from p group by doc_id"),
     "text_layer": (text_layer, _PAGES + ", t as (select doc_id, count(*) as n_pages, avg(case when page_number <= 3 then length(trim(raw_text, ' ' || chr(9) || chr(10) || chr(13))) end) >= 500 as is_text from p group by doc_id) select doc_id, n_pages, is_text, doc_id % 3 = 1 as is_image, case when is_text or doc_id % 3 = 1 then 'odl' else 'paddle' end as engine from t"),
-    "page_recheck": (page_recheck, None),
-    "merge_decision": (merge_decision, None),
+    "page_recheck": (page_recheck, _MEASURED + """,
+r as (select *, case when n_blocks > 0 and conf < 0.75 then 'low_conf(' || printf('%.2f', conf) || ')' end as low, case when n < 300 and n_blocks > 0 then 'short_text(' || n || ')' end as short,
+  case when sum(articles) over (partition by doc_id) - articles >= 3 and articles = 0 and n > 200 then 'no_articles_suspect' end as bare, case when odd > 0.2 and n > 100 then 'high_gibberish' end as gibberish from m),
+w as (select *, count(*) over (partition by doc_id) as many, case when low is not null then 0 when short is not null then 1 when bare is not null then 2 else 3 end as urgency from r where coalesce(low, short, bare, gibberish) is not null),
+o as (select *, row_number() over (partition by doc_id order by case when many > 2 then urgency else 0 end, page_number) as place from w)
+select doc_id, page_number, concat_ws(';', low, short, bare, gibberish) as reasons from o where place <= 2"""),
+    "merge_decision": (merge_decision, _PAGES + f""", v as (select doc_id, page_number, raw_text as o, doc_id % 7 = 0 as failed,
+    case doc_id % 5 when 0 then 'short' when 1 then raw_text || raw_text || '제1조 제2조 제3조 more' when 2 then raw_text || ' output only ... unreadable text' when 3 then raw_text else repeat(raw_text, 3) end as v from p),
+m as (select *, length(o) as o_n, length(v) as v_n, {_odd('o')} as o_odd, {_odd('v')} as v_odd, {_articles('o')} as o_art, {_articles('v')} as v_art,
+  (select count(*) from (values ('do not correct'), ('preserve line breaks'), ('unreadable'), ('output only'), ('read the image'), ('rules (strict)'), ('output format'), ('[system_prompt]')) as k(k) where contains(lower(v), k)) >= 2 as leak from v),
+d as (select doc_id, page_number, case when failed then 'vlm_error' when v_n < 20 then 'vlm_too_short' when leak then 'vlm_prompt_leakage' when v_odd > 0.25 and v_odd > o_odd + 0.1 then 'vlm_gibberish' when o_n < 150 and v_n > o_n * 2 then 'orig_too_short'
+  when v_art > o_art and v_art >= 3 then 'more_articles' when o_art >= 3 and v_art < o_art * 0.6 then 'vlm_lost_articles' when v_n > o_n * 1.2 and v_odd < 0.15 then 'longer_clean' else 'default' end as reason from m)
+select doc_id, page_number, case when reason in ('orig_too_short', 'more_articles', 'longer_clean') then 'vlm' else 'original' end as chosen, reason from d"""),
+    "hybrid_pages": (hybrid_pages, _MEASURED + f""", h as (select *, case doc_id % 5 when 0 then null when 1 then ' ' || chr(10) || chr(9) || ' ' when 2 then substring(raw_text, 1, 10) else 'merged ' || raw_text end as merged from m),
+d as (select *, case when not (doc_id % 7 < 5 or n < 50 or odd > 0.1) then 'odl' when length(regexp_replace(coalesce(merged, ''), '{_WS}', '', 'g')) = 0 then 'merge_failed_fallback' when length(merged) < 0.3 * n then 'merge_rejected_too_short' else 'triangular_merge' end as mode from h)
+select doc_id, page_number, mode, md5(case when mode = 'triangular_merge' then merged else raw_text end) as text_md5 from d"""),
+    "judge_deals": (judge_deals, _found_sql("rank") + """,
+ctx as (select query_id, string_agg('Source: ' || law_name || ' (Art. ' || (article_id % 50 + 1) || ')' || chr(10) || 'Content: content of ' || article_id || chr(10) || chr(10), '' order by place) as context from r where place <= 3 group by 1),
+j as (select query_id, case query_id % 300 when 200 then '위험' when 100 then '주의' else '적합' end as judgment from q)
+select query_id, case when query_id % 200 = 0 then 'A' else 'B' end as instruction, judgment, 'PASS' as critic_feedback, 1::bigint as drafts, coalesce(context, '') as context,
+  repeat('═', 60) || chr(10) || '⚖️  최종 법적 판단' || chr(10) || repeat('═', 60) || chr(10) || chr(10) || '⚖️  [최종 판정]' || chr(10) || judgment || chr(10) || repeat('═', 60) as verdict from j left join ctx using (query_id)"""),
     "eval_recall": (eval_recall, "with d as (select o_orderkey as doc_id from orders join customer on o_custkey = c_custkey) select doc_id, case when doc_id % 3 = 0 then 0 when doc_id % 2 = 0 then 2 else 1 end::bigint as article_hits, round(case when doc_id % 3 = 0 then 0 when doc_id % 2 = 0 then 2 else 1 end * 100.0 / 3, 4)::double as article_recall, case when doc_id % 3 > 0 and doc_id % 2 = 0 then 1 else 0 end::bigint as keyword_hits, case when doc_id % 3 = 0 then '1,2,3' when doc_id % 2 = 0 then '3' else '2,3' end as missed from d"),
     "bench_summary": (bench_summary, "select 'm' || (doc_id % 3) as model, count(*) as n_docs, round(count(*) * 0.5, 6)::double as total_seconds, 0.5::double as avg_seconds, round(avg(doc_id % 101), 6) as avg_article_recall, round(avg(doc_id % 7), 6) as avg_keyword_recall from documents group by 1"),
     "input_hash": (input_hash, "select doc_id || '.txt' as name, sha256(coalesce(text, '')) as sha256, strlen(coalesce(text, ''))::bigint as n_bytes, 'text/plain' as media_type from documents"),

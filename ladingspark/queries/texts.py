@@ -18,11 +18,11 @@ def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collapse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line comes doc_id % 8 times in a row between two others."""
+    """Whole texts, after which a line comes doc_id % 8 times in a row between two others."""
     docs = render.table(spark, sf_dir, "documents")
     line = F.concat(F.lit("line "), F.col("doc_id").cast("string"), F.lit("\n"))
-    text = F.concat(F.lit("top\n"), F.repeat(line, (F.col("doc_id") % 8).cast("int")), F.lit("tail\ntail\ntail"))
-    return docs.select("doc_id", clean.collapse_repeats(text).alias("text"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\ntop\n"), F.repeat(line, (F.col("doc_id") % 8).cast("int")), F.lit("tail\ntail\ntail"))
+    return docs.select("doc_id", F.md5(clean.collapse_repeats(text)).alias("text_md5"))
 
 
 def swift_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,11 @@ _PLAIN = "[A-Za-z0-9가-힣" + _WS[1:-1] + r".,:;()/\-+*#@%''\"!?\[\]{}<>\\&=$^`
 QUERIES = {
     "sanitize_text": (sanitize_text, f"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(' ' || chr(10) || chr(11) || coalesce(text, '') || chr(7) || repeat(chr(10), 5) || 'end' || chr(31) || ' ' || chr(9),
         '[\\x{{00}}-\\x{{08}}\\x{{0b}}\\x{{0c}}\\x{{0e}}-\\x{{1f}}]', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g')) as clean_md5 from documents"""),
-    "collapse_repeats": (collapse_repeats, "select doc_id, 'top' || chr(10) || repeat('line ' || doc_id || chr(10), case when doc_id % 8 >= 5 then 1 else doc_id % 8 end) || 'tail' || chr(10) || 'tail' || chr(10) || 'tail' as text from documents"),
+    "collapse_repeats": (collapse_repeats, """with t as (select doc_id, coalesce(text, '') || chr(10) || 'top' || chr(10) || repeat('line ' || doc_id || chr(10), doc_id % 8) || 'tail' || chr(10) || 'tail' || chr(10) || 'tail' as text from documents),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos, len(string_split(text, chr(10))) as last from t),
+g as (select *, pos - row_number() over (partition by doc_id, line, pos = last order by pos) as run from l),
+k as (select *, count(*) over (partition by doc_id, line, pos = last, run) as n, row_number() over (partition by doc_id, line, pos = last, run order by pos) as i from g)
+select doc_id, md5(string_agg(line, chr(10) order by pos)) as text_md5 from k where n < 5 or i = 1 group by doc_id"""),
     "swift_unescape": (swift_unescape, "select doc_id, md5(replace(':50: A\\nB ' || coalesce(text, ''), '\\n', chr(10))) as text_md5 from documents"),
     "label_normalise": (label_normalise, f"with d as ({_DEAL}) select doc_id, label, want || glue || invoice_no as text from d, (values ('B/L N0', 'B/L No', ': '), ('B/LN0', 'B/L No', ':'), ('REF NO', 'REF No', ':'), ('LC no', 'LC No', ' '), ('Invoice N0', 'Invoice No', '. '), ('P/O No', 'P/O No', ', '), ('Customer Now', 'Customer Now', ' '), ('No way', 'No way', ' ')) as l(label, want, glue)"),
     "fields_repaired": (fields_repaired, f"""with d as ({_DEAL}), f as (

@@ -6,7 +6,9 @@ stands if the last token of the prefix before it can stand next to it, that is,
 would not cross the border between the two. Following the last tokens back gives the ids.
 
 The rules for cutting a text into pieces, and added tokens, are read from the tokenizer's file.
-Defined results: a null text is the empty text, with no ids; every other text is encoded whole.
+Defined results: a null text is the empty text, with no ids; every other text is encoded whole,
+piece by piece, however long; an empty table gives no row; a vocabulary that lacks a token for some
+single byte can't encode every text and is refused.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from .common import text_of
 
-#: Pieces whose ids are remembered, and the longest piece that is; both bound memory alone.
-CACHE_PIECES, CACHE_CHARS = 200_000, 64
+#: Pieces and pairs that a generation of remembered results holds, and the longest piece that is remembered; they bound memory alone.
+CACHE_PIECES, CACHE_PAIRS, CACHE_CHARS = 150_000, 1 << 19, 64
 #: The pattern by which byte-level BPE files with "use_regex" cut a text.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space by Unicode's White_Space property, for \s in the pattern above.
@@ -38,6 +40,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Remembered(dict):
+    """Results by key in two generations: when the younger is full it takes the place of the older, and what is asked again stays."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def keep(self, key, value):
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        return found if found is None else self.keep(key, found)
+
+
 class PrefixBpe:
     """Encoder and decoder for one tokenizer file."""
 
@@ -51,6 +72,8 @@ class PrefixBpe:
         self.bytes_of = {i: raw(t) for t, i in vocab.items() if t not in self.added}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         self.single = {raw(t)[0]: i for t, i in vocab.items() if len(t) == 1 and t in letters}
+        if len(self.single) < 256:
+            raise ValueError(f"the vocabulary has tokens for {len(self.single)} of 256 single bytes")
         #: rank and result of joining two ids; the parts and rank of an id that a merge makes.
         self.joined: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
@@ -64,8 +87,7 @@ class PrefixBpe:
         self.ending.make_automaton()
         self.piece = regex.compile(PIECE.replace(r"[^\s", f"[^{BLANK}").replace(r"\S", rf"\P{{White_Space}}").replace(r"\s", BLANK))
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.fits, self.known = Remembered(CACHE_PAIRS), Remembered(CACHE_PIECES)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' bytes leaves a border between them.
@@ -74,7 +96,7 @@ class PrefixBpe:
         meet at the border must not have a merge that would have come before the merges that
         made what stands there.
         """
-        if (found := self.fits.get((left, right))) is not None:
+        if (found := self.fits[left, right]) is not None:
             return found
         a, b, before = left, right, 1 << 60
         good = True
@@ -92,14 +114,10 @@ class PrefixBpe:
             else:
                 # A merge on the right that has the same rank as one over the border comes after it.
                 before, b = pb[0] + 1, pb[1]
-        if len(self.fits) >= 1 << 20:
-            self.fits.clear()
-        self.fits[left, right] = good
-        return good
+        return self.fits.keep((left, right), good)
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
-        if (ids := self.known.get(piece)) is not None:
-            return ids
+        """Ids of a piece that is not remembered."""
         data = piece.encode().decode("latin-1")
         last: list[tuple[int, int]] = [(-1, 0)] * (len(data) + 1)
         for at, (token, size) in self.ending.iter(data):
@@ -112,20 +130,18 @@ class PrefixBpe:
             out.append(token)
             end -= size
         ids = tuple(reversed(out))
-        if len(piece) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_PIECES:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+        return self.known.keep(piece, ids) if len(piece) <= CACHE_CHARS else ids
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
+        known = self.known
         for part in self.split_added.split(text) if self.split_added else [text]:
             if part in self.added:
                 out.append(self.added[part])
             else:
                 for piece in self.piece.findall(part):
-                    out.extend(self.piece_ids(piece))
+                    ids = known[piece]
+                    out += self.piece_ids(piece) if ids is None else ids
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -6,10 +6,16 @@ feed ends a line; in Java that is `(?Ud)`. A missing match or group is the empty
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 from ..catalogs.notation import exact, flags_and_pattern
 
+#: Between a value and the label on the line below it.
+BELOW = r"\s*\n\s*"
+#: A value that goes over anything but line feeds: slow to look for from every place of a line.
+WITHIN_LINE = re.compile(r"\((?:\[[^\]\\^][^\]\\]*\])?\[\^\\n[^\]]*\]\{\d+,\d+\}\??\)")
+
 
 def text(value: str) -> str:
     """value as a SQL literal."""
@@ -27,23 +33,56 @@ def pattern(value: str | exact, flags: str | None = None) -> str:
     return text(f"(?Ud{own if flags is None else flags}){body}")
 
 
+def tokens(body: str) -> Iterator[tuple[int, str]]:
+    """Places and tokens of a pattern outside its character classes; a class is one token, an escaped character too."""
+    at = 0
+    while at < len(body):
+        end = at + 1
+        if body[at] == "\\":
+            end += 1
+        elif body[at] == "[":
+            end += body[end] == "^"
+            end += body[end] == "]"
+            while body[end] != "]":
+                end += 1 + (body[end] == "\\")
+            end += 1
+        elif body.startswith("(?", at):
+            end = at + (4 if body.startswith("(?<", at) else 3)
+        yield at, body[at:end]
+        at = end
+
+
 def groups_in(value: str | exact) -> int:
     """Capturing groups of a pattern."""
-    body, count, at, inside = flags_and_pattern(value)[1], 0, 0, False
-    while at < len(body):
-        char = body[at]
-        if char == "\\":
-            at += 1
-        elif inside:
-            inside = char != "]"
-        elif char == "[":
-            inside = True
-            at += body[at + 1] == "^"
-            at += body[at + 1] == "]"
-        elif char == "(" and body[at + 1] != "?":
-            count += 1
-        at += 1
-    return count
+    return sum(token == "(" for _, token in tokens(flags_and_pattern(value)[1]))
+
+
+def looks_around(value: str | exact) -> bool:
+    """Whether a match depends on what is around it, so that the matched text alone may not match in the same way."""
+    return any(token in ("^", "$", r"\b", r"\B") or token.startswith(("(?=", "(?!", "(?<")) for _, token in tokens(flags_and_pattern(value)[1]))
+
+
+def label_below(value: str | exact) -> tuple[str, str] | None:
+    """Value and label of a pattern "value, line feed, label" whose label holds no groups; else None."""
+    body, depth, cut = flags_and_pattern(value)[1], 0, None
+    for at, token in tokens(body):
+        if depth == 0 and token == "|":
+            return None
+        if depth == 0 and cut is None and body.startswith(BELOW, at):
+            cut = at
+        depth += token.startswith("(") - (token == ")")
+    if not cut or groups_in(body[cut:]) or body[cut + len(BELOW) :] == "":
+        return None
+    return body[:cut], body[cut + len(BELOW) :]
+
+
+def quick(value: str | exact, flags: str | None = None) -> str:
+    """The pattern as a SQL literal, with the same matches; where a line is not followed by the label, its places are left at once."""
+    parts = label_below(value)
+    if parts is None or not WITHIN_LINE.fullmatch(parts[0]):
+        return pattern(value, flags)
+    own, body = flags_and_pattern(value)
+    return text(rf"(?Ud{own if flags is None else flags})(?=[^\n]*+\n\s*{parts[1]}){body}")
 
 
 def strip(sql: str) -> str:
@@ -52,11 +91,19 @@ def strip(sql: str) -> str:
 
 
 def hits(source: str, value: str | exact, flags: str | None = None) -> str:
-    """An array of structs raw, a, b, c: all matches of a pattern, with its first three groups ('' if there are fewer)."""
-    p, n = pattern(value, flags), groups_in(value)
-    alls = ", ".join(f"regexp_extract_all({source}, {p}, {k})" for k in range(min(n, 3) + 1))
+    """An array of structs raw, a, b, c: all matches of a pattern, with its first three groups ('' if there are fewer).
+
+    Groups are taken from a match's own text, unless the pattern looks around it.
+    """
+    p, n = quick(value, flags), groups_in(value)
+    raws = f"regexp_extract_all({source}, {p}, 0)"
     if n == 0:
-        return f"transform(regexp_extract_all({source}, {p}, 0), x -> named_struct('raw', x, 'a', x, 'b', '', 'c', ''))"
+        return f"transform({raws}, x -> named_struct('raw', x, 'a', x, 'b', '', 'c', ''))"
+    if not looks_around(value):
+        own = pattern(value, flags)
+        parts = ", ".join(f"'{name}', " + (f"regexp_extract(x, {own}, {k})" if k <= n else "''") for k, name in enumerate("abc", 1))
+        return f"transform({raws}, x -> named_struct('raw', x, {parts}))"
+    alls = ", ".join(f"regexp_extract_all({source}, {p}, {k})" for k in range(min(n, 3) + 1))
     parts = ", ".join(f"'{name}', " + (f"x.`{k}`" if k <= n else "''") for k, name in enumerate("abc", 1))
     return f"transform(arrays_zip({alls}), x -> named_struct('raw', x.`0`, {parts}))"
 
@@ -65,9 +112,17 @@ def first(source: str, values: Sequence[str | exact], accept: str = "true", mark
     """The first hit h that `accept` holds for, pattern by pattern; null if there is none.
 
     marks: lower-case parts of which every match holds one; texts without any of them (in the column
-    `lower`) are not searched. A pattern's groups are only taken where it matches at all.
+    `lower`) are not searched. A value above its label is only looked for where the label begins a
+    line, and groups that need a search of their own only where the pattern matches at all.
     """
-    each = [f"if({like(source, v)}, try_element_at(filter({hits(source, v)}, h -> {accept}), 1), null)" for v in values]
+    each = []
+    for v in values:
+        found, tests, parts = f"try_element_at(filter({hits(source, v)}, h -> {accept}), 1)", [], label_below(v)
+        if parts is not None:
+            tests.append(f"regexp_like({source}, {text(rf'(?Ud{flags_and_pattern(v)[0]})\n\s*{parts[1]}')})")
+        if looks_around(v):
+            tests.append(f"regexp_like({source}, {quick(v)})")
+        each.append(f"if({' and '.join(tests)}, {found}, null)" if tests else found)
     found = each[0] if len(each) == 1 else f"coalesce({', '.join(each)})"
     return f"if({contains_any(lower, marks)}, {found}, null)" if marks else found
 

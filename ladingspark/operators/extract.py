@@ -38,7 +38,7 @@ def dates(column: str) -> Column:
 def incoterms(column: str) -> Column:
     """Array of 'TERM Place' in the order of the list of terms, each once."""
     each = [
-        f"transform({X.hits(_text(column), rf'\b{term}\b\s*([A-Za-z가-힣]+)?', '')}, h -> trim(concat({X.text(term)}, ' ', h.a)))"
+        f"if(contains({_text(column)}, {X.text(term)}), transform({X.hits(_text(column), rf'\b{term}\b\s*([A-Za-z가-힣]+)?', '')}, h -> trim(concat({X.text(term)}, ' ', h.a))), array())"
         for term in C.TERMS
     ]
     return F.expr(f"array_distinct(concat({', '.join(each)}))")
@@ -49,7 +49,8 @@ def parties(column: str) -> Column:
     t = _text(column)
     roles = f"filter({X.texts(C.ROLES)}, r -> contains({t}, r))"
     places = f"slice(array_distinct(regexp_extract_all({t}, {X.pattern(C.PLACEHOLDER, '')}, 0)), 1, {C.MOST_PLACEHOLDERS})"
-    return F.expr(f"named_struct('party_a', {X.like(t, C.PARTY_A, '')}, 'party_b', {X.like(t, C.PARTY_B, '')}, 'roles', {roles}, 'placeholders', {places})")
+    named = lambda sign, p: f"contains({t}, '{sign}') and {X.like(t, p, '')}"
+    return F.expr(f"named_struct('party_a', {named('갑', C.PARTY_A)}, 'party_b', {named('을', C.PARTY_B)}, 'roles', {roles}, 'placeholders', {places})")
 
 
 def has_parties(struct: str) -> Column:

@@ -53,6 +53,48 @@ def packing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", field("packing_no").alias("packing_no"), field("gross_weight").alias("weight"), field("measurement").alias("measurement"), field("measurement", "unit").alias("unit"), field("n_packages").alias("packages"), field("n_packages", "unit").alias("packs"), F.array_join("warnings", ";").alias("warnings"))
 
 
+def _said(label: str, column: str):
+    return F.concat(F.lit(label), F.col(column))
+
+
+def order_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of an order that the rendered papers don't have; what is above a label that begins a line is no value here."""
+    d = render.deals(spark, sf_dir)
+    code = F.concat(F.lit("H.S. Code: "), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"), F.lit(".30"))
+    text = render.lines(
+        "PURCHASE ORDER", "", _said("Ship To:\nWAREHOUSE ", "port"), render.plain("Delivery Date", "date"), code, "Currency: USD", "Port of Loading: BUSAN", _said("Port of Discharge: PORT ", "port"),
+        F.concat(F.lit("Net Weight: "), F.col("weight"), F.lit(" LBS")), _said("Marks & Numbers: LOT ", "order_no"),
+    )
+    read = papers.parse_invoice_like(d.select("doc_id", text.alias("text")), "PurchaseOrder")
+    names = ("ship_to", "delivery_date", "hs_code", "currency", "port_of_loading", "port_of_discharge", "net_weight", "marks_numbers")
+    return read.select("doc_id", *[field(n).alias(n) for n in names], field("net_weight", "unit").alias("unit"))
+
+
+def bl_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a bill of lading that the rendered papers don't have; lines above a label are labels too, so that their values are rejected."""
+    d = render.deals(spark, sf_dir)
+    number = F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")
+    text = render.lines(
+        "BILL OF LADING", "", F.concat(F.lit("Booking No: BK00"), number), _said("Notify Party:\n", "buyer"), "", _said("Vessel: MV ", "port"), F.concat(F.lit("Voyage No: "), number, F.lit("W")), "Place of Receipt: BUSAN CY",
+        _said("Place of Delivery: PORT ", "port"), _said("Airport of Destination: ", "port"), "Measurement: 12.5 CBM", "Freight Terms: Prepaid", render.plain("Date of Issue", "date"), "Place of Issue: SEOUL",
+    )
+    read = papers.parse_lading(d.select("doc_id", text.alias("text")))
+    names = ("booking_no", "notify_party", "vessel", "voyage", "place_of_receipt", "place_of_delivery", "airport_of_destination", "measurement", "freight_terms", "issue_place")
+    return read.select("doc_id", *[F.col("key_fields")[n].alias(n) for n in names], field("measurement", "unit").alias("unit"))
+
+
+def lc_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a credit in words that the rendered papers don't have."""
+    d = render.deals(spark, sf_dir)
+    text = render.lines(
+        "IRREVOCABLE DOCUMENTARY CREDIT", "", render.plain("Applicant", "buyer"), _said("Issuing Bank: FIRST BANK ", "port"), _said("Advising Bank: BANK OF ", "lc_number"), "Port of Loading: BUSAN", _said("Port of Discharge: PORT ", "port"),
+        render.plain("Date of Expiry", "date"), "Place of Expiry: SEOUL", render.plain("Latest Shipment", "date"), "Transhipment: NOT ALLOWED", "Incoterms: CIF Hamburg", "Partial Shipments: ALLOWED",
+    )
+    read = papers.parse_credit(d.select("doc_id", text.alias("text")))
+    names = ("issuing_bank", "advising_bank", "port_of_loading", "port_of_discharge", "expiry_date", "expiry_place", "latest_shipment_date", "transhipment", "incoterm", "partial_shipments")
+    return read.select("doc_id", "format", *[F.col("key_fields")[n].alias(n) for n in names])
+
+
 def invoice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = render.item_texts(render.invoice_lines(spark, sf_dir)).withColumn("items", papers.items("text"))
     rows = papers.long_items(read, ["doc_id"])
@@ -214,6 +256,9 @@ QUERIES = {
     "proforma_fields": (proforma_fields, DEALS + "select doc_id, invoice_no, seller, buyer, date as valid_until, invoice_no as quotation_no from d"),
     "po_fields": (order_fields, DEALS + "select doc_id, order_no, date, buyer, seller, 'T/T 30 days' as terms, total from d"),
     "packing_fields": (packing_fields, DEALS + "select doc_id, order_no as packing_no, weight, '12.5' as measurement, 'CBM' as unit, '40' as packages, 'CTNS' as packs, 'NO_ITEMS_DETECTED' as warnings from d"),
+    "po_rest": (order_rest, DEALS + "select doc_id, 'WAREHOUSE ' || port as ship_to, date as delivery_date, lpad((doc_id % 10000)::varchar, 4, '0') || '.30' as hs_code, 'USD' as currency, 'BUSAN' as port_of_loading, 'PORT ' || port as port_of_discharge, weight as net_weight, 'LOT ' || order_no as marks_numbers, 'LBS' as unit from d"),
+    "bl_rest": (bl_rest, DEALS + "select doc_id, 'BK00' || lpad((doc_id % 1000)::varchar, 3, '0') as booking_no, buyer as notify_party, 'MV ' || port as vessel, lpad((doc_id % 1000)::varchar, 3, '0') || 'W' as voyage, 'BUSAN CY' as place_of_receipt, 'PORT ' || port as place_of_delivery, port as airport_of_destination, '12.5' as measurement, 'Prepaid' as freight_terms, 'SEOUL' as issue_place, 'CBM' as unit from d"),
+    "lc_rest": (lc_rest, DEALS + "select doc_id, 'narrative' as format, 'FIRST BANK ' || port as issuing_bank, 'BANK OF ' || lc_number as advising_bank, 'BUSAN' as port_of_loading, 'PORT ' || port as port_of_discharge, date as expiry_date, 'SEOUL' as expiry_place, date as latest_shipment_date, 'NOT ALLOWED' as transhipment, 'CIF' as incoterm, 'ALLOWED' as partial_shipments from d"),
     "invoice_items": (invoice_items, _ITEMS + "select doc_id, description, quantity, unit_price, (quantity * unit_price + wrong)::decimal(18,2) as amount from i"),
     "invoice_quality": (invoice_quality, DEALS + "select doc_id, 0.7::double as confidence, case when variant = 0 then 'MISSING_FIELDS:BUYER;' else '' end || 'NO_ITEMS_DETECTED' as warnings from d"),
     "bl_fields": (bl_fields, DEALS + "select doc_id, bl_number, seller as shipper, buyer as consignee, 'BUSAN' as port_of_loading, 'PORT ' || port as port_of_discharge, weight as gross_weight, date as issue_date, container as containers, 'sea' as transport_mode, 0.75::double as confidence from d"),

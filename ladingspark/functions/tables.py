@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,3 +26,13 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def elements(df: DataFrame, keep: Sequence[str], array: Column | str, item: str = "_e") -> DataFrame:
+    """A row an element: keep, pos (from 0) and the element. Null and empty arrays give no row.
+
+    For the inner form of the generator Spark tests the array's size below it, where an array that is
+    costly to work out is worked out again for each test; the outer form is not tested, and its null rows go here.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias("pos", item))
+    return rows.filter(F.col("pos").isNotNull())

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..catalogs import credit, invoice, lading
 from ..catalogs.notation import exact
 from ..functions import regexx as X
+from ..functions.tables import elements
 from . import extract
 
 #: A field that is found.
@@ -101,13 +102,14 @@ def fallback_party(t: str, place: int) -> str:
 
 def items(column: str) -> Column:
     """Array of description, quantity, unit_price, amount, raw: lines that end in three figures."""
-    hits = X.hits(f"coalesce(`{column}`, '')", invoice.ITEM_LINE, "")
-    # The fourth group is taken by the same match: its place among all matches is the same.
-    fourth = f"regexp_extract_all(coalesce(`{column}`, ''), {X.pattern(invoice.ITEM_LINE, '')}, 4)"
+    # A match is whole lines, so that its own text matches in the same way.
+    line = X.pattern(invoice.ITEM_LINE, "")
+    lines = f"regexp_extract_all(coalesce(`{column}`, ''), {line}, 0)"
+    group = lambda k: f"regexp_extract(x, {line}, {k})"
     number = lambda v: f"try_cast(replace({v}, ',', '') as double)"
-    each = f"named_struct('description', {X.strip('h.a')}, 'quantity', {number('h.b')}, 'unit_price', {number('h.c')}, 'amount', {number('d')}, 'raw', h.raw)"
+    each = f"named_struct('description', {X.strip(group(1))}, 'quantity', {number(group(2))}, 'unit_price', {number(group(3))}, 'amount', {number(group(4))}, 'raw', x)"
     good = f"i.quantity is not null and i.unit_price is not null and i.amount is not null and not {X.like('i.description', invoice.ITEM_HEADER, 'i')}"
-    return F.expr(f"filter(zip_with({hits}, {fourth}, (h, d) -> {each}), i -> {good})")
+    return F.expr(f"filter(transform({lines}, x -> {each}), i -> {good})")
 
 
 def field_map(found: dict[str, str]) -> Column:
@@ -250,13 +252,13 @@ def parse_credit(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def long_fields(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
     """A row a field: keep, pos, field, value, unit, currency, term, place, raw."""
-    rows = parsed.select(*keep, F.posexplode(F.map_entries("fields")).alias("pos", "_e"))
+    rows = elements(parsed, keep, F.map_entries("fields"))
     return rows.select(*keep, "pos", F.col("_e.key").alias("field"), *[F.col(f"_e.value.{c}").alias(c) for c in ("value", "unit", "currency", "term", "place", "raw")])
 
 
 def long_items(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
     """A row an item: keep, pos (from 1) and the item's columns."""
-    return parsed.select(*keep, F.posexplode("items").alias("pos", "_i")).select(*keep, (F.col("pos") + 1).alias("pos"), "_i.*")
+    return elements(parsed, keep, "items").select(*keep, (F.col("pos") + 1).alias("pos"), "_e.*")
 
 
 Parser = Callable[[DataFrame, Column, str], DataFrame]

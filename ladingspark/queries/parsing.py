@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import kept
+from ..functions.tables import elements, kept
 from ..operators import classify, contracts, extract, papers
 from ..plans import document, render
 
@@ -173,7 +173,7 @@ def structural_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.array(block(F.col("description"), F.lit(10) + shift, top, F.lit(120)), block(F.col("quantity").cast("string"), F.lit(210), top + 2, F.lit(30)), block(F.col("unit_price").cast("string"), F.lit(310) + shift, top + 1, F.lit(30)), block(F.col("amount").cast("string"), F.lit(410), top + 3, F.lit(30)))
     head = F.array(*[block(F.lit(t), F.lit(x), F.lit(100), F.lit(60)) for t, x in (("Description", 10), ("Quantity", 200), ("Unit Price", 300), ("Amount", 400))])
     pages = items.groupBy("doc_id").agg(F.concat(head, F.flatten(F.collect_list(cells))).alias("blocks"))
-    rows = pages.select("doc_id", F.explode(F.expr(contracts.table_items("blocks"))).alias("i"))
+    rows = elements(pages, ["doc_id"], F.expr(contracts.table_items("blocks")), "i")
     return rows.select("doc_id", F.col("i.description").alias("description"), F.col("i.quantity").cast("decimal(18,2)").alias("quantity"), F.col("i.unit_price").cast("decimal(18,2)").alias("unit_price"), F.col("i.amount").cast("decimal(18,2)").alias("amount"))
 
 
@@ -214,6 +214,60 @@ def document_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "doc_type", number.alias("number"), F.coalesce(F.size("warnings") > 0, F.lit(False)).alias("has_warnings"))
 
 
+def _spaced(deals: DataFrame) -> DataFrame:
+    """Deals whose names have blanks for underscores, which names in forms don't hold."""
+    return deals.withColumns({c: F.translate(c, "_", " ") for c in ("buyer", "port")})
+
+
+def invoice_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that only the layouts of forms find, and parties that stand without labels in their block; the line of a telephone is no name."""
+    d = _spaced(render.deals(spark, sf_dir))
+    form = render.lines(
+        _said("PL NO / DATE PL-", "order_no"), _said("INVOICE NO / DATE REF ", "date"), F.concat(F.lit("CONSIGNEE / BILL TO "), F.col("buyer"), F.lit(" VESSEL")), "TERMS OF SALE FOB BUSAN (KR)",
+        F.concat(F.lit("TOTAL 40 CTNS 90.5 KGS "), F.col("weight"), F.lit(" KGS 12.5 CBM")),
+    )
+    block = render.lines("PACKING LIST", "Parties", F.col("seller"), "Tel: 02-111-2222", F.col("buyer"), "Weight in all")
+    text = F.when(F.col("variant") == 0, block).otherwise(form)
+    read = papers.parse_invoice_like(d.select("doc_id", text.alias("text")), "PackingList")
+    return read.select("doc_id", *[field(n).alias(n) for n in ("pl_no", "seller", "buyer", "gross_weight", "net_weight")], field("incoterms", "term").alias("term"), field("incoterms", "place").alias("place"), field("seller", "raw").alias("seller_raw"))
+
+
+def bl_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layouts of forms: labels without colons, short names of ports, vessel and voyage in one."""
+    d = _spaced(render.deals(spark, sf_dir))
+    voyage = F.concat(F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit("W"))
+    text = render.lines(
+        _said("BILL OF LADING B/L NO ", "bl_number"), F.concat(F.lit("Shipper "), F.col("seller"), F.lit(" Consignee "), F.col("buyer"), F.lit(" Vessel")),
+        F.concat(F.lit("VESSEL / VOYAGE NO. EVER "), F.col("port"), F.lit(" / "), voyage), _said("POL BUSAN POD PORT ", "port"),
+    )
+    read = papers.parse_lading(d.select("doc_id", text.alias("text")))
+    return read.select("doc_id", *[F.col("key_fields")[n].alias(n) for n in ("bl_number", "shipper", "consignee", "vessel", "voyage", "port_of_loading", "port_of_discharge")])
+
+
+def clause_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts in both languages: the same number stands in each, and the text's order decides."""
+    d = render.deals(spark, sf_dir)
+    text = render.lines("제1조 (목적)", F.concat(F.lit("본 계약은 "), F.col("invoice_no"), F.lit(" 구매를 목적으로 한다.")), "Article 1. Purpose", F.concat(F.lit("The purpose is to buy "), F.col("invoice_no"), F.lit(" whole.")), "제2조 (인도)", F.concat(F.lit("선적일은 "), F.col("date"), F.lit(" 로 한다. 인도 지연 시 지급한다.")), "Article 2. Delivery", F.concat(F.lit("Delivery is due on "), F.col("date"), F.lit(".")), "제1조 (다시)", "같은 번호는 다시 쓰지 않는다.")
+    found = contracts.long_clauses(contracts.flat_clauses(d.select("doc_id", text.alias("text"))), ["doc_id"])
+    return found.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "clause_id", "title", "lang", F.col("start").cast("bigint").alias("start"), F.length("text").cast("bigint").alias("chars"))
+
+
+#: Texts with the kind and confidence that follow by hand from the classifier's rules: a title word counts 10 and a tenth of its kind's priority,
+#: a word 2, both with twice as much again for each time in the first 300 characters, a pattern 15 and a word against the kind -40.
+BY_HAND = (
+    ("nothing of trade", "Unknown", 0.0), ("a Vendor", "PurchaseOrder", 0.56), ("x" * 300 + " Vendor", "PurchaseOrder", 0.52), ("a Vendor, the Vendor", "PurchaseOrder", 0.6),
+    ("Quotation in USD", "CommercialInvoice", 0.06), ("PROFORMA in USD", "ProformaInvoice", 0.56), ("Please supply", "PurchaseOrder", 0.65), ("x" * 300 + " Letter  of\nCredit", "LetterOfCredit", 0.69),
+    ("a Pallet and Voyage, Vendor, Vendor", "PurchaseOrder", 0.3), ("packing list", "PackingList", 1.0),
+)
+
+
+def classify_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose kind and confidence are stated beside them, one a deal."""
+    d = render.spread(render.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")))
+    text = F.element_at(F.array(*[F.lit(t) for t, _, _ in BY_HAND]), (F.col("doc_id") % len(BY_HAND) + 1).cast("int"))
+    return classify.classify(d.select("doc_id", text.alias("text"))).select("doc_id", "doc_type", F.round("confidence", 6).alias("confidence"), "needs_recheck")
+
+
 def _score_sql() -> str:
     """The classifier's rules over documents, in SQL, from the same word lists."""
     from ..catalogs import kinds as K
@@ -285,5 +339,14 @@ select doc_id, clause_id, title, lang, article_no, length(t)::bigint as chars fr
     "classify_papers": (classify_papers, DEALS + f"select doc_id, {_KIND} as doc_type from d"),
     "classify_documents": (classify_documents, _score_sql()),
     "title_counts": (title_counts, "select doc_id, w as word, ((length(upper(replace(text, 'ß', 'SS'))) - length(replace(upper(replace(text, 'ß', 'SS')), upper(w), ''))) // length(w))::bigint as n, ((length(substring(upper(replace(text, 'ß', 'SS')), 1, 300)) - length(replace(substring(upper(replace(text, 'ß', 'SS')), 1, 300), upper(w), ''))) // length(w))::bigint as top from documents, (values ('the'), ('en'), ('ound')) as k(w)"),
+    "invoice_forms": (invoice_forms, DEALS + "select doc_id, case when variant > 0 then 'PL-' || order_no end as pl_no, case when variant = 0 then seller end as seller, translate(buyer, '_', ' ') as buyer, case when variant > 0 then weight end as gross_weight, case when variant > 0 then '90.5' end as net_weight, case when variant > 0 then 'FOB' end as term, case when variant > 0 then 'BUSAN' end as place, case when variant = 0 then '[fallback]' end as seller_raw from d"),
+    "bl_forms": (bl_forms, DEALS + "select doc_id, bl_number, seller as shipper, translate(buyer, '_', ' ') as consignee, 'EVER ' || translate(port, '_', ' ') as vessel, lpad((doc_id % 1000)::varchar, 3, '0') || 'W' as voyage, 'BUSAN' as port_of_loading, 'PORT ' || translate(port, '_', ' ') as port_of_discharge from d"),
+    "clause_mixed": (clause_mixed, DEALS + """, c as (
+  select doc_id, 0 as pos, '제1조' as clause_id, '목적' as title, 'ko' as lang, '제1조 (목적)' as head, '본 계약은 ' || invoice_no || ' 구매를 목적으로 한다.' as body from d union all
+  select doc_id, 1, 'article_1', 'Purpose', 'en', 'Article 1. Purpose', 'The purpose is to buy ' || invoice_no || ' whole.' from d union all
+  select doc_id, 2, '제2조', '인도', 'ko', '제2조 (인도)', '선적일은 ' || date || ' 로 한다. 인도 지연 시 지급한다.' from d union all
+  select doc_id, 3, 'article_2', 'Delivery', 'en', 'Article 2. Delivery', 'Delivery is due on ' || date || '.' || chr(10) || '제1조 (다시)' || chr(10) || '같은 번호는 다시 쓰지 않는다.' from d)
+select doc_id, pos::bigint as pos, clause_id, title, lang, (coalesce(sum(length(head) + length(body) + 2) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) + length(head))::bigint as start, length(body)::bigint as chars from c"""),
+    "classify_by_hand": (classify_by_hand, "with t(i, doc_type, confidence) as (values " + ", ".join(f"({i}, '{k}', {c}::double)" for i, (_, k, c) in enumerate(BY_HAND)) + f") select o_orderkey as doc_id, doc_type, confidence, confidence < 0.5 as needs_recheck from orders join t on i = o_orderkey % {len(BY_HAND)}"),
     "document_flow": (document_flow, DEALS + f"select doc_id, {_KIND} as doc_type, case doc_id % 7 when 0 then invoice_no when 1 then invoice_no when 2 then order_no when 3 then order_no when 4 then bl_number when 5 then lc_number end as number, doc_id % 7 < 4 as has_warnings from d"),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import elements
 from ..operators import agent, clean, contracts, extract
 from ..plans import render
 
@@ -75,7 +76,7 @@ def prompt_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbers_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = render.deals(spark, sf_dir)
     text = F.concat(F.lit("weighs "), F.col("weight"), F.lit(" of -"), F.col("total_text"), F.lit(" or -5"))
-    return d.select("doc_id", text.alias("t")).select("doc_id", F.explode(extract.numbers("t")).alias("n")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("n").cast("decimal(18,2)")).cast("decimal(18,2)").alias("total"))
+    return elements(d.select("doc_id", text.alias("t")), ["doc_id"], extract.numbers("t"), "n").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("n").cast("decimal(18,2)")).cast("decimal(18,2)").alias("total"))
 
 
 def prep_tags(spark: SparkSession, sf_dir: str) -> DataFrame:

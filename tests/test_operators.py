@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from ladingspark.catalogs import invoice
+from ladingspark.functions.tables import elements
 from ladingspark.operators import agent, classify, clean, contracts, extract, pages, papers, retrieve, validate
 from ladingspark.plans import document, judgement
 from ladingspark.sources import readers, store
@@ -255,3 +258,18 @@ def test_forms_and_rejected_values(spark):
     assert (invoice["invoice_no"], invoice["date"], invoice["seller"], invoice["buyer"], invoice["currency"]) == ("INV-2026-001", "2026-01-05", "ALPHA TRADING", "BETA IMPORT", "EUR")
     assert "shipper" not in papers.parse_lading(one(spark, "Shipper: Consignee\n")).first()["key_fields"]
     assert "applicant" not in papers.parse_credit(one(spark, "Applicant: Beneficiary\n")).first()["key_fields"]
+
+
+def test_rows_of_arrays(spark):
+    rows = spark.createDataFrame([(1, ["a", None]), (2, []), (3, None)], "i int, xs array<string>")
+    assert sorted(map(tuple, elements(rows, ["i"], "xs").collect()), key=str) == [(1, 0, "a"), (1, 1, None)]
+    text = "Invoice No: INV-26-000001\nTotal Amount: USD 10.00"
+    read = papers.long_fields(papers.parse_invoice_like(one(spark, text), "CommercialInvoice"), ["text"])
+    assert {(r["field"], r["value"], r["currency"]) for r in read.collect()} >= {("total_amount", "10.00", "USD")}
+
+
+def test_item_lines_equal_those_of_another_engine(spark):
+    text = "Bolts M8 and nuts 3 1,000.50 3,001.50\r\n\n  \nSteel pipe 20 mm\n4 2.5 10  \n\nWide cloth 1 2 3 4.5 9 40.5\nQuantity of all 1 2 3\nLast one 7 1.0 7.0"
+    want = [(m.group(1).strip(), m.group(0), *(float(m.group(k).replace(",", "")) for k in (2, 3, 4))) for m in re.finditer(invoice.ITEM_LINE, text) if not re.search(invoice.ITEM_HEADER, m.group(1), re.I)]
+    got = one(spark, text).select(papers.items("text").alias("items")).first()["items"]
+    assert want and [(r["description"], r["raw"], r["quantity"], r["unit_price"], r["amount"]) for r in got] == want

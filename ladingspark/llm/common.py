@@ -50,6 +50,25 @@ def pieces_of(data: bytes) -> Iterator[bytes]:
         at = end
 
 
+#: Characters of a long text that are encoded at a time, about.
+PART_CHARS = 1 << 20
+_WORD_THEN_BLANK = re.compile(r"\S ")
+
+
+def parts_of(text: str) -> Iterator[str]:
+    """The text in parts of about PART_CHARS that end between a character that is no white space and a blank.
+
+    There a piece of the byte-level encoders' patterns ends whatever follows, so that the parts can be
+    encoded one by one. A text without such a place is one part.
+    """
+    at = 0
+    while at < len(text):
+        found = _WORD_THEN_BLANK.search(text, at + PART_CHARS) if len(text) - at > PART_CHARS else None
+        end = found.end() - 1 if found else len(text)
+        yield text[at:end] if at or end < len(text) else text
+        at = end
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; one of our own only where none is named and all runs on one machine."""
     sc = spark.sparkContext

@@ -2,7 +2,10 @@
 
 Lengths come from the public byte-level BPE vocabulary; documents of equal length are counted
 together, and sums over all longer ones answer the rest. Defined results: a null or empty text
-has length 0 and counts as a document; repeated rows count each; an empty table gives no row.
+has length 0 and counts as a document; repeated rows count each; an empty table gives no row;
+columns other than the text are not looked at. Texts of any length are encoded whole: in parts that
+end where a piece of the pattern ends in any case, and a long run of white space, which the
+library's pattern engine can't take, as the piece that it is.
 """
 
 from __future__ import annotations
@@ -11,10 +14,32 @@ import base64
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, running_sums, text_of
+from .common import checkpointed, parts_of, running_sums, text_of
+
+#: White space in a row from which a run is encoded apart from its text; the library fails beyond some 400,000.
+LONG_RUN = 10_000
+_RUN = regex.compile(rf"\p{{White_Space}}{{{LONG_RUN},}}")
+
+
+def around_runs(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in stretches, and whether a stretch is one piece, white space alone.
+
+    The patterns of byte-level encoders take a run of white space as one piece but for its last
+    character, which may go with the word that follows; at the end of a text they take it whole.
+    """
+    at = 0
+    for run in _RUN.finditer(text) if len(text) >= LONG_RUN else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > at:
+            yield text[at : run.start()], False
+        yield text[run.start() : end], True
+        at = end
+    if at < len(text):
+        yield text[at:] if at else text, False
 
 
 def lengths(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
@@ -27,11 +52,15 @@ def lengths(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
         import tiktoken
 
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(str.split, sent.value.splitlines())}
-        encoding = tiktoken.Encoding("lengths", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        cut, whole = (tiktoken.Encoding("lengths", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (pattern, r"[\s\S]+"))
+
+        def length(text: str) -> int:
+            return sum(len((whole if one else cut).encode_ordinary(x)) for part in parts_of(text) for x, one in around_runs(part))
+
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                texts = batch.column(0).slice(start, 256).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([len(encoding.encode_ordinary(t)) for t in texts], pa.int64())], names=["length"])
+                texts = batch.column(0).slice(start, 256)
+                yield pa.RecordBatch.from_arrays([pa.array([length(t.as_py()) for t in texts], pa.int64())], names=["length"])
 
     return docs.select(text_of().alias("text")).mapInArrow(run, "length bigint")
 

@@ -4,6 +4,8 @@ For every prefix of a piece the unique last token of its encoding is stored. The
 the vocabulary tokens that end there (an automaton over all tokens gives them); a candidate
 stands if the last token of the prefix before it can stand next to it, that is, if merging
 would not cross the border between the two. Following the last tokens back gives the ids.
+A long text goes in parts that end where a piece ends in any case, so that beside the text only
+its ids are held, four bytes each, and what one part or one piece needs.
 
 The rules for cutting a text into pieces, and added tokens, are read from the tokenizer's file.
 Defined results: a null text is the empty text, with no ids; every other text is encoded whole,
@@ -15,18 +17,20 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import parts_of, text_of
 
-#: Pieces and pairs that a generation of remembered results holds, and the longest piece that is remembered; they bound memory alone.
-CACHE_PIECES, CACHE_PAIRS, CACHE_CHARS = 150_000, 1 << 19, 64
+#: Pieces and pairs whose results are remembered (all are forgotten when so many are there), and the longest piece that is remembered; they bound memory alone.
+CACHE_PIECES, CACHE_PAIRS, CACHE_CHARS = 300_000, 1 << 19, 64
 #: The pattern by which byte-level BPE files with "use_regex" cut a text.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space by Unicode's White_Space property, for \s in the pattern above.
@@ -40,25 +44,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class Remembered(dict):
-    """Results by key in two generations: when the younger is full it takes the place of the older, and what is asked again stays."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.older = most, {}
-
-    def keep(self, key, value):
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-    def __missing__(self, key):
-        found = self.older.get(key)
-        return found if found is None else self.keep(key, found)
-
-
 class PrefixBpe:
     """Encoder and decoder for one tokenizer file."""
 
@@ -84,10 +69,12 @@ class PrefixBpe:
         self.ending = ahocorasick.Automaton()
         for i in [*self.single.values(), *self.parts]:
             self.ending.add_word(self.bytes_of[i].decode("latin-1"), (i, len(self.bytes_of[i])))
+        self.size_of = {i: len(data) for i, data in self.bytes_of.items()}
         self.ending.make_automaton()
         self.piece = regex.compile(PIECE.replace(r"[^\s", f"[^{BLANK}").replace(r"\S", rf"\P{{White_Space}}").replace(r"\s", BLANK))
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.fits, self.known = Remembered(CACHE_PAIRS), Remembered(CACHE_PIECES)
+        self.fits: dict[int, bool] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' bytes leaves a border between them.
@@ -96,8 +83,6 @@ class PrefixBpe:
         meet at the border must not have a merge that would have come before the merges that
         made what stands there.
         """
-        if (found := self.fits[left, right]) is not None:
-            return found
         a, b, before = left, right, 1 << 60
         good = True
         while True:
@@ -114,37 +99,58 @@ class PrefixBpe:
             else:
                 # A merge on the right that has the same rank as one over the border comes after it.
                 before, b = pb[0] + 1, pb[1]
-        return self.fits.keep((left, right), good)
+        if len(self.fits) >= CACHE_PAIRS:
+            self.fits.clear()
+        self.fits[left << 32 | right] = good
+        return good
 
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
+    def piece_ids(self, piece: str) -> Sequence[int]:
         """Ids of a piece that is not remembered."""
-        data = piece.encode().decode("latin-1")
-        last: list[tuple[int, int]] = [(-1, 0)] * (len(data) + 1)
+        data, short = piece.encode().decode("latin-1"), len(piece) <= CACHE_CHARS
+        last = [-1] * (len(data) + 1) if short else array("i", [-1]) * (len(data) + 1)
+        fits, compatible = self.fits.get, self.compatible
         for at, (token, size) in self.ending.iter(data):
-            end, start = at + 1, at + 1 - size
-            if last[end][0] < 0 and (start == 0 or self.compatible(last[start][0], token)):
-                last[end] = (token, size)
-        out, end = [], len(data)
+            at += 1
+            if last[at] < 0:
+                if at != size:
+                    left = last[at - size]
+                    good = fits(left << 32 | token)
+                    if not good and (good is False or not compatible(left, token)):
+                        continue
+                last[at] = token
+        out, end = array("i"), len(data)
         while end:
-            token, size = last[end]
+            token = last[end]
             out.append(token)
-            end -= size
-        ids = tuple(reversed(out))
-        return self.known.keep(piece, ids) if len(piece) <= CACHE_CHARS else ids
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+            end -= self.size_of[token]
+        if not short:
+            return out[::-1]
+        if len(self.known) >= CACHE_PIECES:
+            self.known.clear()
+        ids = self.known[piece] = tuple(reversed(out))
+        return ids
+
+    def ids_by_part(self, text: str) -> Iterator[array]:
+        """Ids of the text, a part at a time."""
         known = self.known
-        for part in self.split_added.split(text) if self.split_added else [text]:
-            if part in self.added:
-                out.append(self.added[part])
-            else:
+        for section in parts_of(text):
+            out = array("i")
+            for part in self.split_added.split(section) if self.split_added else [section]:
+                if part in self.added:
+                    out.append(self.added[part])
+                    continue
                 for piece in self.piece.findall(part):
-                    ids = known[piece]
-                    out += self.piece_ids(piece) if ids is None else ids
+                    ids = known.get(piece)
+                    out.extend(self.piece_ids(piece) if ids is None else ids)
+            yield out
+
+    def encode(self, text: str) -> array:
+        out = array("i")
+        for ids in self.ids_by_part(text):
+            out += ids
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -165,17 +171,26 @@ def encode(docs: DataFrame, tokenizer_json: str, with_ids: bool = True) -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
+    def digests(bpe: PrefixBpe, text: str) -> tuple[int, str, str, np.ndarray | None, str | None]:
+        """The row of a text; without ids nothing of a part is held but its digests' state."""
+        n, ids_sha, text_sha, all_ids, decoded = 0, hashlib.sha256(), hashlib.sha256(), array("i"), []
+        for ids in bpe.ids_by_part(text):
+            if len(ids):
+                ids_sha.update((("," if n else "") + ",".join(map(str, ids))).encode())
+            n += len(ids)
+            back = bpe.decode(ids)
+            text_sha.update(back.encode())
+            if with_ids:
+                all_ids += ids
+                decoded.append(back)
+        return n, ids_sha.hexdigest(), text_sha.hexdigest(), np.frombuffer(all_ids, np.int32) if with_ids else None, "".join(decoded) if with_ids else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(sent.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                rows = []
-                for text in part.column("text").to_pylist():
-                    ids = bpe.encode(text)
-                    decoded = bpe.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids, decoded))
-                n, ids_sha, dec_sha, ids, decoded = zip(*rows, strict=True)
+                n, ids_sha, dec_sha, ids, decoded = zip(*(digests(bpe, text.as_py()) for text in part.column("text")), strict=True)
                 cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(dec_sha)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:

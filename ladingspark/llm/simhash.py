@@ -13,7 +13,8 @@ hashes) of the texts that have one are brought together by component of proposal
 bounded size, and a proposed pair is a link only if the Jaccard similarity of the two sets says so.
 
 Defined results: null and blank texts have fingerprint zero, linked like any other; texts with
-fewer words than a shingle take the whole sequence; repeated rows share a component; doc_id null
+fewer words than a shingle take the whole sequence; a very long text is hashed whole, a piece of
+its words at a time; repeated rows share a component; doc_id null
 takes no part in the smallest id of its component (null if all are); an empty table gives an empty
 result. Other columns are not looked at.
 """
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside_hot, checkpointed, digest_of, stored, text_of, words_in
+from .common import beside_hot, checkpointed, digest_of, pieces_of, stored, text_of, words_in
 
 #: Fingerprints in a tile, at most.
 TILE = 8192
@@ -53,17 +54,23 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def hashes_of(text: str, shingle: int, seed: int) -> np.ndarray:
-    """Hashes of the shingles, in the order of the text and with repeats."""
-    words = words_in(text.encode())
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        cuts = [joined]
-    else:
-        ends = list(itertools.accumulate(len(w) + 1 for w in words))
-        cuts = [joined[a : b - 1] for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)]
-    return np.fromiter((xxhash.xxh64_intdigest(c, seed) for c in cuts), np.uint64, len(cuts))
+    """Hashes of the shingles, in the order of the text and with repeats; words of a long text a piece at a time."""
+    carried: list[bytes] = []
+    found, first = [], True
+    for piece in pieces_of(text.encode()):
+        words = carried + words_in(piece)
+        if len(words) >= shingle:
+            joined = b" ".join(words)
+            ends = list(itertools.accumulate(len(w) + 1 for w in words))
+            cuts = (joined[a : b - 1] for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False))
+            found.append(np.fromiter((xxhash.xxh64_intdigest(c, seed) for c in cuts), np.uint64, len(words) - shingle + 1))
+            first = False
+        carried = words[-(shingle - 1) :] if shingle > 1 else []
+        if len(words) < shingle:
+            carried = words
+    if first and carried:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(carried), seed)], np.uint64)
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def fingerprint(hashes: np.ndarray, width: int = 1) -> bytes:
@@ -88,8 +95,8 @@ def fingerprints(docs: DataFrame, key: Column | str = "doc_id", shingle: int = 3
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 fp, n, same = [], [], []
-                for text in part.column("text").to_pylist():
-                    hashes = hashes_of(text, shingle, seed)
+                for text in part.column("text"):
+                    hashes = hashes_of(text.as_py(), shingle, seed)
                     if sets:
                         hashes = np.unique(hashes)
                     fp.append(fingerprint(hashes, width))
@@ -336,7 +343,7 @@ def confirmed_links(texts: DataFrame, grid: Grid, shingle: int, seed: int) -> Da
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                found = [np.unique(hashes_of(t, shingle, seed)).tobytes() for t in part.column("text").to_pylist()]
+                found = [np.unique(hashes_of(t.as_py(), shingle, seed)).tobytes() for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("root", "node", "block", "_blocks")), pa.array(found, pa.binary())], names=["root", "node", "block", "_blocks", "set"])
 
     held = placed.select("root", "node", "block", "_blocks", "text").mapInArrow(cut, "root binary, node binary, block int, _blocks int, set binary")

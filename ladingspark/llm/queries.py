@@ -163,7 +163,7 @@ _CLASSES = (r"\p{Lu}\p{Lt}", r"\p{Ll}", r"\p{Lo}\p{Lm}", r"\p{N}", r"\p{P}", r"\
 
 OP13_SQL = rf"""
 with d as (select row_number() over () as doc, doc_id, coalesce(lang, 'und') as lang, coalesce(text, '') as text from documents),
-b as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+b as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
   [{", ".join(f"length(regexp_replace(text, '[^{c}]', '', 'g'))" for c in _CLASSES)}] as seen from d),
 h as (select *, list_append(seen, length(text) - list_sum(seen)::bigint) as classes from b),
 each_ as (select doc, unnest(w) as word, generate_subscripts(w, 1) as i from h),

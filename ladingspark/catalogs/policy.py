@@ -17,7 +17,7 @@ NOT_BY_AIR = "FOB"
 
 #: Wording.
 NOT_KNOWN = "미확인"
-NO_FACTS = "검증 데이터 없음"
+NO_FACTS, NOT_CHECKED = "검증 데이터 없음", "수치 검증 수행 불가"
 ICONS = {"FAIL": "❌ [결함 적발] ", "PASS": "✅ [정상 확인] "}
 OTHER_ICON = "⚠️ ["
 NO_DEFECT = "✅ 수치 및 날짜상 명백한 하자는 발견되지 않았습니다.\n"
@@ -34,5 +34,4 @@ IMAGES = (".png", ".jpg", ".jpeg", ".bmp", ".tiff", ".tif", ".gif", ".webp")
 REVIEWED = "salescontract"
 FEEDBACK_MARK = "수정 지시:"
 MOST_DRAFTS = 2
-PICTURES_TO_READ = (".pdf", ".png", ".jpg", ".jpeg", ".bmp", ".webp")
 UPLOADS = {".txt": "text/plain", ".json": "application/json", ".pdf": "application/pdf", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".bmp": "image/bmp", ".webp": "image/webp"}

@@ -8,6 +8,7 @@ bounded by MOST_DRAFTS.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +37,10 @@ def document_type(payload: str) -> Column:
     return F.coalesce(F.get_json_object(text, "$.document_type"), F.get_json_object(text, "$[0].document_type"), F.get_json_object(text, "$[0].data.document_type"))
 
 
-def instruction(payload: str) -> Column:
-    """A for a contract by itself, else B."""
-    return F.when(F.contains(F.lower(F.coalesce(document_type(payload), F.lit(""))), F.lit(P.REVIEWED)), "A").otherwise("B")
+def instruction(payload: str, readable: str | None = None) -> Column:
+    """A for a contract by itself, else B; what is no JSON (readable: a column that says so) is B whatever its first letters say."""
+    reviewed = F.contains(F.lower(F.coalesce(document_type(payload), F.lit(""))), F.lit(P.REVIEWED))
+    return F.when(reviewed if readable is None else reviewed & F.coalesce(F.col(readable), F.lit(False)), "A").otherwise("B")
 
 
 def is_payload(text: str, lists: bool = True) -> Column:
@@ -66,8 +68,10 @@ def rendered(template: str, **parts: Column) -> Column:
     return F.concat(*out, F.lit(template[at:]))
 
 
-#: The request to the model; wording is the caller's, this is the order of its parts.
+#: The requests to the models; wording is the caller's, this is the order of their parts: before the search, for a draft, for its review.
+PREPARATION = "Name the legal issue as <query> and the place as <jurisdiction>.\n\n{payload}"
 REQUEST = "{instruction}\n\nQuestion: {query}\n\nFacts:\n{facts}\n\nArticles:\n{context}\n\nPreferences:\n{preferences}"
+REVIEW = "Question: {query}\n\nDraft:\n{judgment}\n\nArticles:\n{sources}"
 
 
 def with_preferences(preferences: str, special: Column) -> Column:
@@ -88,17 +92,25 @@ def verdict(checks: list[str]) -> Column:
     return F.when(F.array_contains(status, P.FAIL), P.RISKS[0]).when(F.exists(status, lambda s: s != P.PASS), P.RISKS[1]).otherwise(P.RISKS[2])
 
 
-def drafted(states: DataFrame, write: Writer, review: Writer, most: int = P.MOST_DRAFTS) -> DataFrame:
+def drafted(states: DataFrame, write: Writer, review: Writer, most: int = P.MOST_DRAFTS, request: str | None = None) -> DataFrame:
     """states with judgment, critic_feedback and resolve_count after at most `most` drafts.
 
-    write adds `judgment`, review adds `reply`; a state is done once the reply says PASS. All states go through the same
-    fixed number of steps, in which those that are done are left alone. What a step gives is stored, so
-    that the model is asked once for each draft and a reply can't change afterwards.
+    write adds `judgment`, review adds `reply`; a state is done once the reply says PASS. request: a template of the
+    review's request, which review then sees as `review_request`. Each round takes the states that are
+    still open and stores what it gives, so that the model is asked once for each draft and
+    a reply can't change afterwards; states that are done are not written again.
     """
-    out = kept(states.withColumn("judgment", F.lit("")).withColumn("critic_feedback", F.lit(None).cast("string")).withColumn("resolve_count", F.lit(0)))
-    for _ in range(most):
-        done = F.coalesce(F.col("critic_feedback") == "PASS", F.lit(False))
-        open_ = review(write(out.filter(~done).drop("judgment")))
-        open_ = open_.withColumn("critic_feedback", feedback("reply")).withColumn("resolve_count", F.col("resolve_count") + 1)
-        out = kept(out.filter(done).unionByName(open_.select(*out.columns)))
-    return out
+    start = states.withColumn("judgment", F.lit("")).withColumn("critic_feedback", F.lit(None).cast("string")).withColumn("resolve_count", F.lit(0))
+    columns, open_, closed = start.columns, start, []
+    for place in range(most):
+        written = write(open_.drop("judgment"))
+        if request is not None:
+            # The draft is stored before two columns are made of it.
+            written = kept(written)
+            written = written.withColumn("review_request", rendered(request, **{c: F.col(c) for c in written.columns}))
+        answered = review(written).withColumn("critic_feedback", feedback("reply")).withColumn("resolve_count", F.col("resolve_count") + 1)
+        round_ = kept(answered.select(*columns))
+        done = F.col("critic_feedback") == "PASS"
+        closed.append(round_.filter(done) if place + 1 < most else round_)
+        open_ = round_.filter(~done)
+    return reduce(DataFrame.unionByName, closed, start.limit(0) if not closed else closed.pop(0))

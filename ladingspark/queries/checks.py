@@ -158,14 +158,15 @@ def hybrid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From questions and payloads to verdicts, by the checks alone: search, facts, drafts and their review."""
+    """From questions and payloads to verdicts, by the checks alone: search, facts, requests, drafts and their review. Some payloads are missing, empty or broken."""
     t = law(spark, sf_dir)
     k = F.col("query_id")
     items = F.when(k % 300 == 100, F.lit("")).otherwise(F.lit('"items":[{"quantity":2,"unit_price":50,"amount":100}],'))
     payload = F.concat(F.lit('{"document_type":"'), F.when(k % 200 == 0, "SalesContract").otherwise("LetterOfCredit"), F.lit('",'), items, F.lit('"lc_amount":"'), F.when(k % 300 == 200, "99").otherwise("100"), F.lit('","total_amount":"100","insurance":"110%","dates":{"bl_date":"2026-01-01","latest_shipment_date":"2026-01-02"}}'))
-    asked = t["queries"].withColumn("query", F.concat(F.lit("question "), k.cast("string"))).withColumn("payload", payload).withColumn("special", F.lit(None).cast("string"))
-    out = judgement.run(asked, {name: df for name, df in t.items() if name != "queries"})
-    return out.select("query_id", "instruction", "judgment", "critic_feedback", F.col("resolve_count").cast("bigint").alias("drafts"), "context", "verdict")
+    payload = F.when(k % 700 == 100, F.lit(None)).when(k % 700 == 200, "").when(k % 700 == 300, F.concat(payload, F.lit(","))).otherwise(payload)
+    asked = t["queries"].withColumn("query", F.concat(F.lit("question "), k.cast("string"))).withColumn("payload", payload).withColumn("special", F.when(k % 400 == 0, "be brief"))
+    out = judgement.run(asked, {name: df for name, df in t.items() if name != "queries"}, preferences="none")
+    return out.select("query_id", "instruction", "judgment", "critic_feedback", F.col("resolve_count").cast("bigint").alias("drafts"), "facts", "request", "sources", "verdict")
 
 
 def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,6 +277,24 @@ _REPORT = """'### 📋 [기본 거래 정보 요약]' || chr(10) || '| 항목 |
   || case when abs(2001 - total) > 0.01 or total > 200000 or date > '1997-01-01' then '' else '✅ 수치 및 날짜상 명백한 하자는 발견되지 않았습니다.' || chr(10) end || chr(10)
   || '### 📊 [Input Data Summary]' || chr(10) || '- Incoterms: None' || chr(10) || '- L/C Amount: 200,000' || chr(10) || '- Invoice Total: ' || trim(format('{:,.2f}', total::double)) || chr(10) || '- Insurance: 120%' || chr(10)"""
 
+#: Facts, requests and verdicts of questions whose papers are known, missing or broken.
+_JUDGED = """,
+ctx as (select query_id, string_agg('Source: ' || law_name || ' (Art. ' || (article_id % 50 + 1) || ')' || chr(10) || 'Content: content of ' || article_id || chr(10) || chr(10), '' order by place) as context,
+  string_agg('Source: ' || law_name || ' (Art. ' || (article_id % 50 + 1) || ')' || chr(10), '' order by place) as sources from r where place <= 3 group by 1),
+kinds as (select query_id, query_id % 700 in (100, 200) as missing, query_id % 700 = 300 as broken, query_id % 300 = 100 as bare, query_id % 300 = 200 as over from q),
+j as (select *, case when missing or broken then '주의' when over then '위험' when bare then '주의' else '적합' end as judgment, case when not missing and not broken and query_id % 200 = 0 then 'A' else 'B' end as instruction,
+  case when missing then '검증 데이터 없음' when broken then '수치 검증 수행 불가' else
+  '### 📋 [기본 거래 정보 요약]' || chr(10) || '| 항목 | 내용 |' || chr(10) || '| :--- | :--- |' || chr(10) || '| **수출자** | 미확인 |' || chr(10) || '| **수입자** | 미확인 |' || chr(10) || '| **선적항 / 하역항** | 미확인 / 미확인 |' || chr(10)
+  || '| **거래 조건 (Incoterms)** | 미확인 |' || chr(10) || '| **거래 금액** | 100 USD |' || chr(10) || '| **선적 기한 / 실제 선적** | 2026-01-02 / 2026-01-01 |' || chr(10) || chr(10) || chr(10) || '### 🚨 [시스템 팩트 체크 결과]' || chr(10)
+  || case when bare then '⚠️ [UNKNOWN] 품목 상세 정보가 없어 산술 검증을 수행할 수 없습니다.' else '✅ [정상 확인] 문서 내 수치 산술 정합성 확인 완료 (상세 합계와 총액 일치)' end || chr(10) || '✅ [정상 확인] 보험 부보율 적정: 110%' || chr(10)
+  || case when over then '❌ [결함 적발] Invoice 금액(100.0)이 LC 금액(99.0)을 초과합니다.' else '✅ [정상 확인] LC/Invoice 금액 정합성 확인 (100.0 <= 100.0)' end || chr(10) || '✅ [정상 확인] 선적일 적정 (2026-01-01 <= 2026-01-02)' || chr(10)
+  || case when over then '' else '✅ 수치 및 날짜상 명백한 하자는 발견되지 않았습니다.' || chr(10) end || chr(10)
+  || '### 📊 [Input Data Summary]' || chr(10) || '- Incoterms: None' || chr(10) || '- L/C Amount: ' || case when over then '99' else '100' end || chr(10) || '- Invoice Total: 100' || chr(10) || '- Insurance: 110%' || chr(10) end as facts from kinds)
+select query_id, instruction, judgment, 'PASS' as critic_feedback, 1::bigint as drafts, facts, coalesce(sources, '') as sources,
+  instruction || chr(10) || chr(10) || 'Question: question ' || query_id || chr(10) || chr(10) || 'Facts:' || chr(10) || facts || chr(10) || chr(10) || 'Articles:' || chr(10) || coalesce(context, '') || chr(10) || chr(10)
+  || 'Preferences:' || chr(10) || case when query_id % 400 = 0 then '### [이번 분석 특별 지시]' || chr(10) || 'be brief' || chr(10) || chr(10) else '' end || 'none' as request,
+  repeat('═', 60) || chr(10) || '⚖️  최종 법적 판단' || chr(10) || repeat('═', 60) || chr(10) || chr(10) || '⚖️  [최종 판정]' || chr(10) || judgment || chr(10) || repeat('═', 60) as verdict from j left join ctx using (query_id)"""
+
 QUERIES = {
     "check_arithmetic": (check_arithmetic, _LINES + "select doc_id, case when doc_id % 5 = 3 then 'FAIL' when bool_or(wrong = 1) then 'WARNING' else 'PASS' end as status from i group by doc_id"),
     "deal_checks": (deal_checks, _DEAL + """, c as (
@@ -319,11 +338,7 @@ select doc_id, page_number, case when reason in ('orig_too_short', 'more_article
     "hybrid_pages": (hybrid_pages, _MEASURED + f""", h as (select *, case doc_id % 5 when 0 then null when 1 then ' ' || chr(10) || chr(9) || ' ' when 2 then substring(raw_text, 1, 10) else 'merged ' || raw_text end as merged from m),
 d as (select *, case when not (doc_id % 7 < 5 or n < 50 or odd > 0.1) then 'odl' when length(regexp_replace(coalesce(merged, ''), '{_WS}', '', 'g')) = 0 then 'merge_failed_fallback' when length(merged) < 0.3 * n then 'merge_rejected_too_short' else 'triangular_merge' end as mode from h)
 select doc_id, page_number, mode, md5(case when mode = 'triangular_merge' then merged else raw_text end) as text_md5 from d"""),
-    "judge_deals": (judge_deals, _found_sql("rank") + """,
-ctx as (select query_id, string_agg('Source: ' || law_name || ' (Art. ' || (article_id % 50 + 1) || ')' || chr(10) || 'Content: content of ' || article_id || chr(10) || chr(10), '' order by place) as context from r where place <= 3 group by 1),
-j as (select query_id, case query_id % 300 when 200 then '위험' when 100 then '주의' else '적합' end as judgment from q)
-select query_id, case when query_id % 200 = 0 then 'A' else 'B' end as instruction, judgment, 'PASS' as critic_feedback, 1::bigint as drafts, coalesce(context, '') as context,
-  repeat('═', 60) || chr(10) || '⚖️  최종 법적 판단' || chr(10) || repeat('═', 60) || chr(10) || chr(10) || '⚖️  [최종 판정]' || chr(10) || judgment || chr(10) || repeat('═', 60) as verdict from j left join ctx using (query_id)"""),
+    "judge_deals": (judge_deals, _found_sql("rank") + _JUDGED),
     "eval_recall": (eval_recall, "with d as (select o_orderkey as doc_id from orders join customer on o_custkey = c_custkey) select doc_id, case when doc_id % 3 = 0 then 0 when doc_id % 2 = 0 then 2 else 1 end::bigint as article_hits, round(case when doc_id % 3 = 0 then 0 when doc_id % 2 = 0 then 2 else 1 end * 100.0 / 3, 4)::double as article_recall, case when doc_id % 3 > 0 and doc_id % 2 = 0 then 1 else 0 end::bigint as keyword_hits, case when doc_id % 3 = 0 then '1,2,3' when doc_id % 2 = 0 then '3' else '2,3' end as missed from d"),
     "bench_summary": (bench_summary, "select 'm' || (doc_id % 3) as model, count(*) as n_docs, round(count(*) * 0.5, 6)::double as total_seconds, 0.5::double as avg_seconds, round(avg(doc_id % 101), 6) as avg_article_recall, round(avg(doc_id % 7), 6) as avg_keyword_recall from documents group by 1"),
     "input_hash": (input_hash, "select doc_id || '.txt' as name, sha256(coalesce(text, '')) as sha256, strlen(coalesce(text, ''))::bigint as n_bytes, 'text/plain' as media_type from documents"),

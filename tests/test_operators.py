@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 import re
 
 import pytest
@@ -233,6 +234,38 @@ def test_from_papers_to_verdict(spark):
     assert judgement.analyze_documents(papers_.limit(0), prepare, embed, law).count() == 0
 
 
+def test_models_are_asked_once(spark):
+    """Models that never repeat themselves, and what they were given: one question a row, all the way to the verdict."""
+    law = {
+        "vectors": spark.createDataFrame([(1, [1.0, 0.0], "KR", "C")], "article_id long, embedding array<double>, jurisdiction string, category string"),
+        "articles": spark.createDataFrame([(1, 7, "1", "first")], "article_id long, law_id long, article_no string, content string"),
+        "laws": spark.createDataFrame([(7, "Trade Act", "KR")], "law_id long, law_name string, jurisdiction string"),
+        "metadata": spark.createDataFrame([(1, "C", True, "why", "s")], "article_id long, category string, is_mandatory boolean, analysis_reason string, source_type string"),
+        "edges": spark.createDataFrame([], "source_id long, target_id long"),
+    }
+    asked = {name: spark.sparkContext.accumulator(0) for name in ("prep", "embed", "write", "review")}
+
+    def counting(name, column, make):
+        def count(texts):
+            asked[name].add(len(texts))
+            return texts.map(make)
+
+        return lambda s: s.withColumn(column[1], F.pandas_udf(count, "string").asNondeterministic()(column[0]))
+
+    prepare = counting("prep", ("prep_request", "prep"), lambda t: f"<query>risk {uuid.uuid4()}</query>{t}")
+    write = counting("write", ("request", "judgment"), lambda t: f"{uuid.uuid4()}")
+    review = counting("review", ("review_request", "reply"), lambda t: f"PASS {t}")
+    seen = counting("embed", ("refined", "_seen"), lambda t: t)
+    embed = lambda s: seen(s).withColumn("embedding", F.when(F.startswith("_seen", F.lit("query: risk")) & F.endswith("_seen", F.lit("liability exclusion")), F.array(F.lit(1.0), F.lit(0.0))))
+    papers_ = spark.createDataFrame([(1, "\n\u3000{}\t", None), (2, None, None), (3, '{"document_type": "SalesContract",', None), (4, " ", None)], "query_id long, payload string, special string")
+    got = {r["query_id"]: r for r in judgement.analyze_documents(papers_, prepare, embed, law, write=write, review=review).collect()}
+    assert {name: a.value for name, a in asked.items()} == {"prep": 4, "embed": 4, "write": 4, "review": 4}
+    assert all(got[k]["query"] in got[k]["prep"] and got[k]["query"] in got[k]["request"] and got[k]["sources"] == "Source: Trade Act (Art. 1)\n" for k in got)
+    assert got[1]["prep_request"].endswith("\n\n{}") and got[1]["facts"].startswith("### ")
+    assert [got[k]["facts"] for k in (2, 3, 4)] == ["검증 데이터 없음", "수치 검증 수행 불가", "검증 데이터 없음"] and got[3]["instruction"] == "B"
+    assert {r["arithmetic"]["status"] for r in got.values()} == {"UNKNOWN"} and {r["resolve_count"] for r in got.values()} == {1}
+
+
 def test_payload_escapes_names(spark):
     rows = spark.createDataFrame([(1, 'a"b\\c', "Invoice", {"k": 'v"'}, "t")], "deal_id long, doc_id string, doc_type string, fixed_fields map<string,string>, text string")
     got = json.loads(document.payload(rows).first()["payload"])

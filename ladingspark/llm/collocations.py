@@ -35,12 +35,10 @@ from .common import stored, text_of
 
 #: Sums in the table by which tasks order words.
 SLOTS = 1 << 22
-#: Bytes of text that are cut into words at a time.
-SLICE_BYTES = 4 << 20
-#: Occurrences of a pivot beyond which it is dealt to one more task.
-PIVOT_ROWS = 1 << 20
-#: Fragments that are mined in one go, about.
-MINED_ROWS = 1 << 19
+#: Bytes of text that are cut into words at a time, and bytes of fragments that are mined in one go, about.
+SLICE_BYTES, MINED_BYTES = 2 << 20, 2 << 20
+#: Occurrences of a pivot beyond which it is dealt to one more task, and fragments that a row holds at most; both bound what a task has in memory.
+PIVOT_ROWS, ROW_FRAGMENTS = 1 << 18, 128
 _END = re.compile(rb"[.,;:!?\x0a-\x0d]+")
 
 
@@ -163,12 +161,15 @@ def fragments(texts: DataFrame, frequent: DataFrame, reach: int) -> DataFrame:
             named = strings([*words, b""])  # the last stands for what is cut
             columns = [named.take(pa.array(rows[:, c])) if c == reach else named.take(pa.array(np.where(rows[:, c] < 0, len(words), rows[:, c]))) for c in range(2 * reach + 1)]
             line = pc.binary_join_element_wise(*[columns[c] for c in range(2 * reach + 1) if c != reach], pc.cast(pa.array(times), pa.string()), "\t")
-            starts = np.flatnonzero(np.diff(rows[:, reach], prepend=-1))
+            first = np.diff(rows[:, reach], prepend=-1) != 0
+            nth = np.arange(len(rows)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            starts = np.flatnonzero(nth % ROW_FRAGMENTS == 0)
             lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)), pa.int32()), line)
             pivots = rows[starts, reach]
             salts = 1 + f[pivots] // PIVOT_ROWS
             cols = [pa.repeat(pa.scalar(lang), len(pivots)), named.take(pa.array(pivots)), pa.array((task + n) % salts, pa.int64()), pa.array(salts, pa.int64()), pc.binary_join(lists, "\n")]
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "pivot", "salt", "salts", "parts"])
+        pa.default_memory_pool().release_unused()
 
     return texts.mapInArrow(run, "lang string, pivot string, salt bigint, salts bigint, parts string")
 
@@ -205,10 +206,10 @@ def mined(routed: DataFrame, reach: int, least: int) -> DataFrame:
         for batch in batches:
             # All rows of a pivot are mined together: what is held goes at the first border after enough rows.
             key = list(zip(batch.column("lang").to_pylist(), batch.column("pivot").to_pylist(), strict=True))
-            bytes_ = np.cumsum(pc.binary_length(batch.column("parts")).to_numpy()) // 16
+            bytes_ = np.cumsum(pc.binary_length(batch.column("parts")).to_numpy())
             at = 0
             for k, now in enumerate(key):
-                if now != last and size + int(bytes_[k]) - (int(bytes_[at - 1]) if at else 0) > MINED_ROWS and (held or k > at):
+                if now != last and size + int(bytes_[k]) - (int(bytes_[at - 1]) if at else 0) > MINED_BYTES and (held or k > at):
                     if k > at:
                         held.append(batch.slice(at, k - at))
                     yield mine(held)
@@ -218,6 +219,7 @@ def mined(routed: DataFrame, reach: int, least: int) -> DataFrame:
             size += int(bytes_[-1]) - (int(bytes_[at - 1]) if at else 0) if batch.num_rows else 0
         if any(b.num_rows for b in held):
             yield mine(held)
+        pa.default_memory_pool().release_unused()
 
     dealt = routed.repartition("lang", "pivot", "salt").sortWithinPartitions("lang", "pivot")
     return dealt.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)

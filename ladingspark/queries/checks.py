@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import folder, kept
 from ..operators import clean, pages, retrieve, validate
-from ..plans import judgement, render
-from ..sources import readers, store
+from ..functions import stages
+from ..plans import judgement, record, render
+from ..sources import ledger, readers, store
 from ..streaming import folder as stream
 from .texts import _PLAIN, _WS
 
@@ -169,6 +170,47 @@ def judge_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "instruction", "judgment", "critic_feedback", F.col("resolve_count").cast("bigint").alias("drafts"), "facts", "request", "sources", "verdict")
 
 
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as stored readings, a page a line after a title page; one document in ten has a fault."""
+    d = render.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    k, title = F.col("doc_id"), F.concat(F.lit("COMMERCIAL INVOICE\nInvoice No: INV-26-"), F.lpad(F.col("doc_id").cast("string"), 6, "0"))
+    page = lambda t, i: F.struct((i + 1).cast("int").alias("page_number"), t.alias("raw_text"), (i % 3).cast("bigint").alias("n_blocks"), ((i % 5) / 10 + 0.5).alias("avg_confidence"))
+    pages_ = F.transform(F.concat(F.array(title), F.split("text", "\n", -1)), page)
+    pages_ = F.when(k % 50 == 4, F.slice(pages_, 1, 0)).when(k % 50 == 5, F.transform(pages_, lambda p: p.withField("page_number", F.nullif(p["page_number"], F.lit(1))))).when(k % 50 == 6, F.concat(pages_, F.slice(pages_, 1, 1))).otherwise(F.reverse(pages_))
+    body = F.to_json(F.struct(F.lit("odl").alias("engine"), pages_.alias("pages")), {"ignoreNullFields": "false"})
+    content = F.when(k % 50 == 1, F.lit(None)).when(k % 50 == 2, F.substring(body, 1, 60).cast("binary")).when(k % 50 == 3, F.concat(F.lit(b"\xff\xff"), body.cast("binary"))).otherwise(body.cast("binary"))
+    return d.select("doc_id", content.alias("content"))
+
+
+def document_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record a document from stored readings, of which some are missing, cut short, in no known code, without pages or misnumbered, and some done before."""
+    files = _readings(spark, sf_dir)
+    out = record.records(files, done=files.filter("doc_id % 50 = 7"))
+    of = lambda path, kind="string": F.get_json_object("record", f"$.{path}").cast(kind)
+    fields = {"document_type": "document_type", "invoice_no": "parse.key_fields.invoice_no", "engine": "ocr_quality.engine"}
+    counts = ("n_pages", "total_blocks", "total_chars")
+    return out.select("doc_id", "status", "error", *[of(p).alias(n) for n, p in fields.items()], *[of(f"ocr_quality.{c}", "bigint").alias(c) for c in counts], F.round(of("ocr_quality.avg_confidence", "double"), 6).alias("avg_confidence"), F.md5(of("full_text_raw")).alias("text_md5"))
+
+
+def record_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and failures of each stage of the same job, observed as they are stored."""
+    seen, files = stages.Stages(), _readings(spark, sf_dir)
+    record.records(files, done=files.filter("doc_id % 50 = 7"), stages=seen)
+    return seen.table(spark).select("stage", "rows", "failures", (F.col("seconds") > 0).alias("timed"))
+
+
+def ledger_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by batch: all documents, then all again with some of them changed, the second batch done twice over."""
+    docs = render.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    at = f"{folder(spark)}/ledger-{uuid.uuid4().hex}"
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("new "), F.col("text"))).otherwise(F.col("text")))
+    work = lambda rows: rows.select("doc_id", "sha256", F.length("text").cast("bigint").alias("n_chars"))
+    for batch, inputs in ((0, docs), (1, changed.unionByName(changed)), (1, changed), (2, changed)):
+        ledger.run(inputs.withColumn("sha256", F.sha2("text", 256)), at, batch, work)
+    done = ledger.batches(spark, at, "doc_id bigint, sha256 string").groupBy("doc_id").agg(F.count("*").alias("results"))
+    return ledger.current(spark, at, "doc_id bigint, sha256 string, n_chars bigint").join(done, "doc_id").select("doc_id", "sha256", "n_chars", "batch", "results")
+
+
 def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = render.deals(spark, sf_dir)
     part = lambda no, title, text: F.struct(F.lit(no).cast("int").alias("article"), F.lit(True).alias("is_article_title"), F.lit("TEXT").alias("type"), F.array(F.struct(F.concat(F.lit(title), text).alias("text"))).alias("contents"))
@@ -277,6 +319,13 @@ _REPORT = """'### 📋 [기본 거래 정보 요약]' || chr(10) || '| 항목 |
   || case when abs(2001 - total) > 0.01 or total > 200000 or date > '1997-01-01' then '' else '✅ 수치 및 날짜상 명백한 하자는 발견되지 않았습니다.' || chr(10) end || chr(10)
   || '### 📊 [Input Data Summary]' || chr(10) || '- Incoterms: None' || chr(10) || '- L/C Amount: 200,000' || chr(10) || '- Invoice Total: ' || trim(format('{:,.2f}', total::double)) || chr(10) || '- Insurance: 120%' || chr(10)"""
 
+#: Readings with their faults, and what is measured of the good ones.
+_RECORDS = """with d as (select doc_id, coalesce(text, '') as text, case when doc_id % 50 = 7 then 'skipped' when doc_id % 50 between 1 and 6 then 'error' else 'ok' end as status,
+  case doc_id % 50 when 1 then 'no content' when 2 then 'not a reading in JSON' when 3 then 'not decoded: UnicodeDecodeError' when 4 then 'no pages' when 5 then 'a page without a number' when 6 then 'a page number given twice' end as error from documents),
+p as (select doc_id, unnest(list_prepend('COMMERCIAL INVOICE' || chr(10) || 'Invoice No: INV-26-' || lpad(doc_id::varchar, 6, '0'), string_split(text, chr(10)))) as page, generate_subscripts(list_prepend('', string_split(text, chr(10))), 1) - 1 as i from d),
+m as (select doc_id, count(*) as n_pages, sum(i % 3)::bigint as total_blocks, sum(length(page))::bigint as total_chars, round(coalesce(sum((i % 3) * ((i % 5) / 10 + 0.5)) / nullif(sum(i % 3), 0), 0), 6) as avg_confidence, md5(string_agg(page, chr(10) || chr(10) order by i)) as text_md5 from p group by doc_id)
+"""
+
 #: Facts, requests and verdicts of questions whose papers are known, missing or broken.
 _JUDGED = """,
 ctx as (select query_id, string_agg('Source: ' || law_name || ' (Art. ' || (article_id % 50 + 1) || ')' || chr(10) || 'Content: content of ' || article_id || chr(10) || chr(10), '' order by place) as context,
@@ -339,6 +388,11 @@ select doc_id, page_number, case when reason in ('orig_too_short', 'more_article
 d as (select *, case when not (doc_id % 7 < 5 or n < 50 or odd > 0.1) then 'odl' when length(regexp_replace(coalesce(merged, ''), '{_WS}', '', 'g')) = 0 then 'merge_failed_fallback' when length(merged) < 0.3 * n then 'merge_rejected_too_short' else 'triangular_merge' end as mode from h)
 select doc_id, page_number, mode, md5(case when mode = 'triangular_merge' then merged else raw_text end) as text_md5 from d"""),
     "judge_deals": (judge_deals, _found_sql("rank") + _JUDGED),
+    "document_record": (document_record, _RECORDS + """select d.doc_id, status, error, case when status = 'ok' then 'CommercialInvoice' end as document_type, case when status = 'ok' then 'INV-26-' || lpad(d.doc_id::varchar, 6, '0') end as invoice_no, case when status = 'ok' then 'odl' end as engine,
+  n_pages, total_blocks, total_chars, avg_confidence, text_md5 from d left join m on m.doc_id = d.doc_id and status = 'ok'"""),
+    "record_stages": (record_stages, _RECORDS + """select 'read' as stage, count(*) as rows, count(*) filter (status = 'error') as failures, true as timed from d union all
+  select 'parse', count(*), 0, true from d where status = 'ok' union all select 'record', count(*), count(*) filter (status = 'error'), true from d"""),
+    "ledger_rerun": (ledger_rerun, "select doc_id, sha256(t) as sha256, length(t)::bigint as n_chars, case when doc_id % 3 = 0 then 1 else 0 end::bigint as batch, case when doc_id % 3 = 0 then 2 else 1 end::bigint as results from (select doc_id, case when doc_id % 3 = 0 then 'new ' else '' end || coalesce(text, '') as t from documents)"),
     "eval_recall": (eval_recall, "with d as (select o_orderkey as doc_id from orders join customer on o_custkey = c_custkey) select doc_id, case when doc_id % 3 = 0 then 0 when doc_id % 2 = 0 then 2 else 1 end::bigint as article_hits, round(case when doc_id % 3 = 0 then 0 when doc_id % 2 = 0 then 2 else 1 end * 100.0 / 3, 4)::double as article_recall, case when doc_id % 3 > 0 and doc_id % 2 = 0 then 1 else 0 end::bigint as keyword_hits, case when doc_id % 3 = 0 then '1,2,3' when doc_id % 2 = 0 then '3' else '2,3' end as missed from d"),
     "bench_summary": (bench_summary, "select 'm' || (doc_id % 3) as model, count(*) as n_docs, round(count(*) * 0.5, 6)::double as total_seconds, 0.5::double as avg_seconds, round(avg(doc_id % 101), 6) as avg_article_recall, round(avg(doc_id % 7), 6) as avg_keyword_recall from documents group by 1"),
     "input_hash": (input_hash, "select doc_id || '.txt' as name, sha256(coalesce(text, '')) as sha256, strlen(coalesce(text, ''))::bigint as n_bytes, 'text/plain' as media_type from documents"),

@@ -8,6 +8,7 @@ expressions, worked out in one projection. A null text is read as an empty one.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..catalogs import credit, invoice, lading
 from ..catalogs.notation import exact
 from ..functions import regexx as X
-from ..functions.tables import elements
+from ..functions.tables import elements, kept
 from . import extract
 
 #: A field that is found.
@@ -129,9 +130,8 @@ def warning_missing(absent: str) -> str:
 
 
 def with_common(docs: DataFrame, text: str) -> DataFrame:
-    """docs with common (what `parse` has worked out already, if it has) and the lower-case text."""
-    common = F.col("_common") if "_common" in docs.columns else extract.common_fields(text)
-    return docs.withColumn("common", common).withColumn(LOWER, F.lower(F.coalesce(F.col(text), F.lit(""))))
+    """docs with common and the lower-case text."""
+    return docs.withColumn("common", extract.common_fields(text)).withColumn(LOWER, F.lower(F.coalesce(F.col(text), F.lit(""))))
 
 
 def parse_invoice_like(docs: DataFrame, kind: str | Column, text: str = "text", label_first: bool | None = None) -> DataFrame:
@@ -285,16 +285,20 @@ def parse_base(docs: DataFrame, text: str = "text") -> DataFrame:
 def parse(docs: DataFrame, kind_column: str = "doc_type", text: str = "text") -> DataFrame:
     """docs with common, key_fields, warnings and confidence by the parser of each row's kind; papers of no kind get the base parser.
 
-    The parsers follow one another in one plan, so that what is below is worked out once; each reads
-    the text of its own kind and finds nothing to do in the others.
+    The rows are stored once with their kinds; each parser then reads its own rows in a branch of its
+    own, so that no plan holds all parsers' patterns and no row meets patterns of other kinds. A stream
+    is parsed batch by batch, in foreachBatch.
     """
-    kind, parts = F.col(kind_column), ("key_fields", "warnings", "confidence")
-    out = parse_base(docs, text)
-    out = out.select(*docs.columns, "common", F.struct(*parts).alias("_read"))
-    columns = [*docs.columns, "common"]
-    for kinds, parser in PARSERS:
-        own = F.coalesce(kind.isin(*kinds), F.lit(False))
-        read = parser(out.withColumnRenamed("common", "_common").withColumn("_own", F.when(own, F.col(text))), kind, "_own")
-        taken = F.when(own, F.struct(*parts)).otherwise(F.col("_read")).alias("_read")
-        out = read.select(*docs.columns, F.col("_common").alias("common"), taken)
-    return out.select(*columns, *[F.col(f"_read.{p}").alias(p) for p in parts])
+    parts = ("common", "key_fields", "warnings", "confidence")
+    # The row goes as one struct, so that its columns can't clash with a parser's.
+    rows = kept(docs.select(F.struct("*").alias("_row"), F.col(kind_column).alias("_doc_type"), F.col(text).alias("_own")))
+    claimed: set[str] = set()
+    branches = []
+    for kinds, parser in reversed(PARSERS):  # of two parsers of a kind the later one reads it
+        own = sorted(set(kinds) - claimed)
+        claimed |= set(own)
+        if own:
+            branches.append(parser(rows.filter(F.col("_doc_type").isin(*own)), F.col("_doc_type"), "_own"))
+    branches.append(parse_base(rows.filter(~F.coalesce(F.col("_doc_type").isin(*claimed), F.lit(False))), "_own"))
+    read = [b.select("_row", *parts) for b in branches]
+    return reduce(DataFrame.unionByName, read).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], *parts)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import folder, kept
-from ..operators import clean, pages, retrieve, validate
+from ..operators import clean, lsh, pages, retrieve, validate
 from ..functions import stages
 from ..plans import judgement, record, render
 from ..sources import ledger, readers, store
@@ -77,6 +77,13 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.nearest(t["queries"], t["vectors"], 10).select("query_id", "article_id", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
+def knn_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As knn, through buckets of random planes: what they find, exactly ranked. SQL has no such index; tests measure its recall."""
+    t = law(spark, sf_dir)
+    out = lsh.nearest(t["queries"], t["vectors"], 10)
+    return out.select("query_id", "article_id", "rank", F.round("distance", 6).alias("distance"))
+
+
 def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.degrees(law(spark, sf_dir)["edges"])
 
@@ -363,6 +370,7 @@ select * from c"""),
     "check_payload": (check_payload, _DEAL + "select doc_id, case when abs(2001 - total) > 0.01 then 'FAIL' else 'PASS' end as arithmetic, 'PASS' as insurance, case when total > 200000 then 'FAIL' else 'PASS' end as amounts, case when date > '1997-01-01' then 'FAIL' else 'PASS' end as dates, " + _REPORT + " as report from d"),
     "across_papers": (across_papers, _DEAL + "select doc_id as deal_id, case when total > 150000 then 'FAIL' else 'PASS' end as status, 'USD' as lc_currency from d"),
     "knn": (knn, _LAW + "select query_id, article_id, rank, round(distance, 6) as distance from n where rank <= 10"),
+    "knn_buckets": (knn_buckets, None),
     "graph_degree": (graph_degree, _LAW + "select article_id, degree from degree"),
     "graph_expand": (graph_expand, _LAW + "select distinct article_id as query_id, other as article_id from ends where article_id in (select vec_id from e)"),
     "hybrid_search_vector_order": (hybrid_search_vector_order, _search_sql("rank")),

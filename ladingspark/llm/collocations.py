@@ -42,8 +42,8 @@ PIVOT_ROWS, ROW_FRAGMENTS = 1 << 18, 128
 _END = re.compile(rb"[.,;:!?\x0a-\x0d]+")
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """Language and whole pieces of texts in that language, lower-cased, about SLICE_BYTES at a time. Columns: lang, text."""
+def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[bytes]]]:
+    """Language and whole pieces of texts in that language, lower-cased, about `most` bytes at a time. Columns: lang, text."""
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
     for batch in batches:
@@ -51,12 +51,12 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
             data, at = text.as_py(), 0
             while at < len(data):
                 end = len(data)
-                if end - at > SLICE_BYTES and (found := _END.search(data, at + SLICE_BYTES)):
+                if end - at > most and (found := _END.search(data, at + most)):
                     end = found.end()
                 held.setdefault(lang, []).append(data[at:end].lower() if at or end < len(data) else data.lower())
                 size[lang] = size.get(lang, 0) + end - at
                 at = end
-                if size[lang] >= SLICE_BYTES:
+                if size[lang] >= most:
                     size[lang] = 0
                     yield lang, held.pop(lang)
     yield from held.items()
@@ -82,7 +82,7 @@ def counted_words(texts: DataFrame) -> DataFrame:
     """lang, phrase (a word), f: all occurrences. texts: lang, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, held in slices(batches):
+        for lang, held in slices(batches, SLICE_BYTES):
             words, ids = worded(held)
             f = np.bincount(ids[ids >= 0], minlength=len(words))
             yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(words)), strings(words), pa.array(f, pa.int64())], names=["lang", "phrase", "f"])
@@ -152,7 +152,7 @@ def fragments(texts: DataFrame, frequent: DataFrame, reach: int) -> DataFrame:
         sums = np.zeros(SLOTS, np.int64)
         sums[sent.value[0]] = sent.value[1]
         task = TaskContext.get().partitionId()
-        for n, (lang, held) in enumerate(slices(batches)):
+        for n, (lang, held) in enumerate(slices(batches, SLICE_BYTES)):
             words, ids = worded(held)
             places, f = ranked(lang, words, sums)
             rows, times = combined(around(ids, places, reach), reach)

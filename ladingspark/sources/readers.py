@@ -53,7 +53,7 @@ def page_texts(rows: DataFrame, pages: Column) -> DataFrame:
 
 
 def layout_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id (the file's folder), full_text: a converter's text files by path, an empty line between."""
+    """doc_id (the file's folder), full_text: a converter's text files by path, an empty line between. Files without a byte give nothing, nor a row if a folder has no others."""
     rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_path").alias("path"), "value")
     doc = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
     parts = F.array_sort(F.collect_list(F.struct("path", "value")))

@@ -12,7 +12,7 @@ import __spark_entry__
 from ladingspark.queries import checks, parsing, texts
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUICK = ("collapse_repeats", "check_payload", "graph_expand", "page_recheck", "merge_decision", "hybrid_pages", "judge_deals", "invoice_fields", "po_rest", "bl_rest", "lc_rest", "invoice_forms", "bl_forms", "clause_mixed", "classify_by_hand", "invoice_items", "lc_fields", "contract_clauses", "common_fields", "classify_documents", "fields_repaired", "label_normalise", "text_measures", "check_arithmetic", "deal_checks", "knn", "hybrid_search_vector_order", "page_stats", "encrypt_roundtrip", "stream_papers")
+QUICK = ("collapse_repeats", "check_payload", "graph_expand", "page_recheck", "merge_decision", "hybrid_pages", "judge_deals", "invoice_fields", "po_rest", "bl_rest", "lc_rest", "invoice_forms", "bl_forms", "clause_mixed", "classify_by_hand", "invoice_items", "lc_fields", "contract_clauses", "common_fields", "classify_documents", "fields_repaired", "label_normalise", "text_measures", "check_arithmetic", "deal_checks", "knn", "hybrid_search_vector_order", "page_stats", "encrypt_roundtrip", "stream_papers", "document_record", "record_stages", "ledger_rerun", "document_flow")
 OWN = parsing.QUERIES | texts.QUERIES | checks.QUERIES
 
 

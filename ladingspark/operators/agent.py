@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..catalogs import policy as P
 from ..functions.tables import kept
+from ..functions.templates import filled as rendered
 
 Writer = Callable[[DataFrame], DataFrame]
 
@@ -58,16 +59,6 @@ def context(hits: DataFrame, with_content: bool = True) -> DataFrame:
     return best.select("query_id", F.array_join(F.transform("_c", lambda c: c["t"]), "").alias("context"))
 
 
-def rendered(template: str, **parts: Column) -> Column:
-    """template with {name} replaced by the columns; null is ''."""
-    out, at = [], 0
-    while (start := template.find("{", at)) >= 0:
-        end = template.index("}", start)
-        out += [F.lit(template[at:start]), F.coalesce(parts[template[start + 1 : end]].cast("string"), F.lit(""))]
-        at = end + 1
-    return F.concat(*out, F.lit(template[at:]))
-
-
 #: The requests to the models; wording is the caller's, this is the order of their parts: before the search, for a draft, for its review.
 PREPARATION = "Name the legal issue as <query> and the place as <jurisdiction>.\n\n{payload}"
 REQUEST = "{instruction}\n\nQuestion: {query}\n\nFacts:\n{facts}\n\nArticles:\n{context}\n\nPreferences:\n{preferences}"

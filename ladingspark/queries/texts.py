@@ -87,9 +87,10 @@ def prep_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def critic_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = render.table(spark, sf_dir, "conversations")
-    reply = F.when(F.col("turn") % 3 == 0, F.lit("결과: Pass")).when(F.col("turn") % 3 == 1, F.concat(F.lit("- 결과: FAIL\n수정 지시: a\n수정 지시: turn "), F.col("turn").cast("string"))).otherwise(F.lit("nothing said"))
-    return turns.select("conv_id", "turn", reply.alias("reply")).select("conv_id", "turn", agent.feedback("reply").alias("feedback"))
+    """Replies that hold a turn's whole text: passed, with instructions after the last mark, or free."""
+    turns = render.table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    reply = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("\n결과: Pass"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("- 결과: FAIL\n수정 지시: a\n수정 지시: \t"), "text", F.lit(" \n"))).otherwise(F.col("text"))
+    return turns.select("conv_id", "turn", reply.alias("reply")).select("conv_id", "turn", F.md5(agent.feedback("reply")).alias("feedback_md5"), F.length(agent.feedback("reply")).cast("bigint").alias("n_chars"))
 
 
 def instruction_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +142,9 @@ select doc_id, md5(string_agg(line, chr(10) order by pos)) as text_md5 from k wh
     "prompt_leaks": (prompt_leaks, "with t as (select conv_id, turn, lower(coalesce(text, '') || case turn % 3 when 0 then ' Output Only what is UNREADABLE' when 1 then ' output only' else '' end) as t from conversations) select conv_id, turn, (select count(*) from (values ('do not correct'), ('preserve line breaks'), ('unreadable'), ('output only'), ('read the image'), ('rules (strict)'), ('output format'), ('[system_prompt]')) as m(m) where contains(t, m)) >= 2 as leaked from t"),
     "numbers_found": (numbers_found, f"with d as ({_DEAL}) select doc_id, 3::bigint as n, (weight::decimal(18,2) - total + 5)::decimal(18,2) as total from d"),
     "prep_tags": (prep_tags, f"select conv_id, turn, md5(regexp_replace(coalesce(text, ''), '^{_WS}+|{_WS}+$', '', 'g')) as query_md5, 'UK' as jurisdiction, '' as absent from conversations"),
-    "critic_parse": (critic_parse, "select conv_id, turn, case turn % 3 when 0 then 'PASS' when 1 then 'turn ' || turn else 'nothing said' end as feedback from conversations"),
+    "critic_parse": (critic_parse, f"""with t as (select conv_id, turn, coalesce(text, '') as text from conversations),
+f as (select conv_id, turn, case when turn % 3 = 0 or contains(upper(text), 'PASS') then 'PASS' when turn % 3 = 1 then regexp_replace(regexp_replace(text, '^{_WS}+', ''), '{_WS}+$', '') else text end as feedback from t)
+select conv_id, turn, md5(feedback) as feedback_md5, length(feedback)::bigint as n_chars from f"""),
     "instruction_choice": (instruction_choice, "select o_orderkey as doc_id, case when o_orderkey % 7 = 6 and o_orderkey % 3 < 2 then 'A' else 'B' end as instruction, o_orderkey % 3 < 2 as is_payload from orders join customer on o_custkey = c_custkey"),
     "draft_loop": (draft_loop, "select o_orderkey as doc_id, case when o_orderkey % 3 = 0 then 'draft 1' else 'draft 2' end as judgment, case when o_orderkey % 3 = 0 or o_orderkey % 2 = 0 then 'PASS' else 'more' end as critic_feedback, case when o_orderkey % 3 = 0 then 1 else 2 end::bigint as resolve_count from orders join customer on o_custkey = c_custkey"),
 }

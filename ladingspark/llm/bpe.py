@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 
 from .common import parts_of, text_of
 
-#: Pieces and pairs that a generation of remembered results holds (a full one takes the place of the one before, and what is asked again stays), and the longest piece that is remembered; they bound memory alone.
-CACHE_PIECES, CACHE_PAIRS, CACHE_CHARS = 150_000, 1 << 18, 64
+#: Pieces and pairs whose results are remembered (all are forgotten when so many are there), and the longest piece that is remembered; they bound memory alone.
+CACHE_PIECES, CACHE_PAIRS, CACHE_CHARS = 300_000, 1 << 19, 64
 #: The pattern by which byte-level BPE files with "use_regex" cut a text.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space by Unicode's White_Space property, for \s in the pattern above.
@@ -74,9 +74,7 @@ class PrefixBpe:
         self.piece = regex.compile(PIECE.replace(r"[^\s", f"[^{BLANK}").replace(r"\S", rf"\P{{White_Space}}").replace(r"\s", BLANK))
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.fits: dict[int, bool] = {}
-        self.fitted: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' bytes leaves a border between them.
@@ -86,10 +84,8 @@ class PrefixBpe:
         made what stands there.
         """
         a, b, before = left, right, 1 << 60
-        good = self.fitted.get(left << 32 | right)
-        decided = good is not None
-        good = True if good is None else good
-        while not decided:
+        good = True
+        while True:
             rank = self.joined.get((a, b), (1 << 60,))[0]
             # Equal ranks can only be the same pair overlapping itself; the left one is taken first.
             if rank < before:
@@ -104,24 +100,21 @@ class PrefixBpe:
                 # A merge on the right that has the same rank as one over the border comes after it.
                 before, b = pb[0] + 1, pb[1]
         if len(self.fits) >= CACHE_PAIRS:
-            self.fits, self.fitted = {}, self.fits
+            self.fits.clear()
         self.fits[left << 32 | right] = good
         return good
 
     def piece_ids(self, piece: str) -> Sequence[int]:
         """Ids of a piece that is not remembered."""
-        short = len(piece) <= CACHE_CHARS
-        if short and (ids := self.older.get(piece)) is not None:
-            return self.remember(piece, ids)
-        data = piece.encode().decode("latin-1")
+        data, short = piece.encode().decode("latin-1"), len(piece) <= CACHE_CHARS
         last = [-1] * (len(data) + 1) if short else array("i", [-1]) * (len(data) + 1)
-        fits, compatible = self.fits, self.compatible
+        fits, compatible = self.fits.get, self.compatible
         for at, (token, size) in self.ending.iter(data):
             at += 1
             if last[at] < 0:
                 if at != size:
                     left = last[at - size]
-                    good = fits.get(left << 32 | token)
+                    good = fits(left << 32 | token)
                     if not good and (good is False or not compatible(left, token)):
                         continue
                 last[at] = token
@@ -132,16 +125,14 @@ class PrefixBpe:
             end -= self.size_of[token]
         if not short:
             return out[::-1]
-        return self.remember(piece, tuple(reversed(out)))
-
-    def remember(self, piece: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(self.known) >= CACHE_PIECES:
-            self.known, self.older = {}, self.known
-        self.known[piece] = ids
+            self.known.clear()
+        ids = self.known[piece] = tuple(reversed(out))
         return ids
 
     def ids_by_part(self, text: str) -> Iterator[array]:
         """Ids of the text, a part at a time."""
+        known = self.known
         for section in parts_of(text):
             out = array("i")
             for part in self.split_added.split(section) if self.split_added else [section]:
@@ -149,7 +140,7 @@ class PrefixBpe:
                     out.append(self.added[part])
                     continue
                 for piece in self.piece.findall(part):
-                    ids = self.known.get(piece)
+                    ids = known.get(piece)
                     out.extend(self.piece_ids(piece) if ids is None else ids)
             yield out
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame
 from .common import parts_of, text_of
 
 #: Pieces and pairs whose results are remembered (all are forgotten when so many are there), and the longest piece that is remembered; they bound memory alone.
-CACHE_PIECES, CACHE_PAIRS, CACHE_CHARS = 300_000, 1 << 19, 64
+CACHE_PIECES, CACHE_PAIRS, CACHE_CHARS = 1_000_000, 1 << 19, 64
+#: Ids that are looked up at a time where ids become numerals or bytes.
+LOOKED_UP = 1 << 16
 #: The pattern by which byte-level BPE files with "use_regex" cut a text.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space by Unicode's White_Space property, for \s in the pattern above.
@@ -44,6 +46,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Pieces(dict):
+    """The ids of pieces, four bytes each; a piece that is not remembered is worked out."""
+
+    def __init__(self, ids_of: Callable[[str], bytes]):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.ids_of(piece)
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class PrefixBpe:
     """Encoder and decoder for one tokenizer file."""
 
@@ -74,7 +92,11 @@ class PrefixBpe:
         self.piece = regex.compile(PIECE.replace(r"[^\s", f"[^{BLANK}").replace(r"\S", rf"\P{{White_Space}}").replace(r"\s", BLANK))
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Pieces(self.piece_ids)
+        self.numerals = np.array([str(i) for i in range(max(self.bytes_of) + 1)], object)
+        self.written = np.full(len(self.numerals), b"", object)
+        for i, data in self.bytes_of.items():
+            self.written[i] = data
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' bytes leaves a border between them.
@@ -104,10 +126,11 @@ class PrefixBpe:
         self.fits[left << 32 | right] = good
         return good
 
-    def piece_ids(self, piece: str) -> Sequence[int]:
-        """Ids of a piece that is not remembered."""
-        data, short = piece.encode().decode("latin-1"), len(piece) <= CACHE_CHARS
-        last = [-1] * (len(data) + 1) if short else array("i", [-1]) * (len(data) + 1)
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of a piece, worked out."""
+        data = piece.encode().decode("latin-1")
+        end = len(data)
+        last = [-1] * (end + 1) if end <= 4 * CACHE_CHARS else array("i", [-1]) * (end + 1)
         fits, compatible = self.fits.get, self.compatible
         for at, (token, size) in self.ending.iter(data):
             at += 1
@@ -118,30 +141,24 @@ class PrefixBpe:
                     if not good and (good is False or not compatible(left, token)):
                         continue
                 last[at] = token
-        out, end = array("i"), len(data)
+        out, size_of = array("i"), self.size_of
         while end:
             token = last[end]
             out.append(token)
-            end -= self.size_of[token]
-        if not short:
-            return out[::-1]
-        if len(self.known) >= CACHE_PIECES:
-            self.known.clear()
-        ids = self.known[piece] = tuple(reversed(out))
-        return ids
+            end -= size_of[token]
+        out.reverse()
+        return out.tobytes()
 
     def ids_by_part(self, text: str) -> Iterator[array]:
         """Ids of the text, a part at a time."""
-        known = self.known
+        ids_of = self.known.__getitem__
         for section in parts_of(text):
             out = array("i")
             for part in self.split_added.split(section) if self.split_added else [section]:
                 if part in self.added:
                     out.append(self.added[part])
-                    continue
-                for piece in self.piece.findall(part):
-                    ids = known.get(piece)
-                    out.extend(self.piece_ids(piece) if ids is None else ids)
+                else:
+                    out.frombytes(b"".join(map(ids_of, self.piece.findall(part))))
             yield out
 
     def encode(self, text: str) -> array:
@@ -150,8 +167,19 @@ class PrefixBpe:
             out += ids
         return out
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    @staticmethod
+    def looked_up(table: np.ndarray, ids: Sequence[int]) -> Iterator[list]:
+        """The table's entries of the ids, some at a time."""
+        places = np.asarray(ids, np.int32)
+        for start in range(0, len(places), LOOKED_UP):
+            yield table[places[start : start + LOOKED_UP]].tolist()
+
+    def decode(self, ids: Sequence[int]) -> str:
+        return b"".join(b"".join(some) for some in self.looked_up(self.written, ids)).decode("utf-8", "replace")
+
+    def listed(self, ids: Sequence[int]) -> str:
+        """The ids in decimal, joined by commas."""
+        return ",".join(",".join(some) for some in self.looked_up(self.numerals, ids))
 
 
 @lru_cache(maxsize=4)
@@ -176,7 +204,7 @@ def encode(docs: DataFrame, tokenizer_json: str, with_ids: bool = True) -> DataF
         n, ids_sha, text_sha, all_ids, decoded = 0, hashlib.sha256(), hashlib.sha256(), array("i"), []
         for ids in bpe.ids_by_part(text):
             if len(ids):
-                ids_sha.update((("," if n else "") + ",".join(map(str, ids))).encode())
+                ids_sha.update((("," if n else "") + bpe.listed(ids)).encode())
             n += len(ids)
             back = bpe.decode(ids)
             text_sha.update(back.encode())

@@ -166,14 +166,16 @@ def test_bpe_refuses_a_vocabulary_without_a_byte():
         bpe.PrefixBpe(json.dumps(spec))
 
 
-def test_bpe_remembers_in_two_generations(monkeypatch):
+def test_bpe_with_a_small_memory(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
     monkeypatch.setattr(bpe, "CACHE_PAIRS", 5)
     small, real = bpe.PrefixBpe(open(path).read()), Tokenizer.from_file(path)
     for t in random_texts(5) + [" ".join(f"word{i % 7} other" for i in range(200))]:
-        assert small.encode(t) == real.encode(t, add_special_tokens=False).ids
-    assert len(small.known) <= 5 and len(small.known.older) <= 5
+        ids = list(small.encode(t))
+        assert ids == real.encode(t, add_special_tokens=False).ids
+        assert small.listed(ids) == ",".join(map(str, ids)) and small.decode(ids) == t
+        assert len(small.known) <= 5 and len(small.fits) <= 5
 
 
 def test_url_of_a_megabyte(spark):

@@ -28,6 +28,28 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot that more than one of so many rows has; there are fewer hot keys than this, whatever the table's size.
+HOT_ONE_OF = 10_000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The hot keys of a table, stored: fewer than HOT_ONE_OF rows. Counted before the shuffle; nulls don't count."""
+    counts = kept(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
+    # In a small table a key is hot from as many rows on as the bound has keys.
+    return kept(counts.filter(F.col("_n") > max(total / HOT_ONE_OF, HOT_ONE_OF)).select(key))
+
+
+def join_to_one(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """Inner join to a table with at most one (narrow) row a key, where a key of rows may hold any share of them.
+
+    Rows with a hot key meet its row by broadcast, which HOT_ONE_OF bounds; the others by shuffle. Rows are read twice.
+    """
+    hot = hot_keys(rows, key) if hot is None else hot
+    far = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), key, "left_semi")), key)
+    return far.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
+
+
 def elements(df: DataFrame, keep: Sequence[str], array: Column | str, item: str = "_e") -> DataFrame:
     """A row an element: keep, pos (from 0) and the element. Null and empty arrays give no row.
 

@@ -32,20 +32,25 @@ def kept(df: DataFrame) -> DataFrame:
 HOT_ONE_OF = 10_000
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """The hot keys of a table, stored: fewer than HOT_ONE_OF rows. Counted before the shuffle; nulls don't count."""
-    counts = kept(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The hot keys of a table, stored, fewer than HOT_ONE_OF rows; None if there are none. Counted before the shuffle; nulls don't count."""
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    seen = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.max("_n"), F.lit(0)).alias("most")).first()
     # In a small table a key is hot from as many rows on as the bound has keys.
-    return kept(counts.filter(F.col("_n") > max(total / HOT_ONE_OF, HOT_ONE_OF)).select(key))
+    least = max(seen["n"] / HOT_ONE_OF, HOT_ONE_OF)
+    return kept(counts.filter(F.col("_n") > least).select(key)) if seen["most"] > least else None
 
 
-def join_to_one(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+def join_to_one(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Inner join to a table with at most one (narrow) row a key, where a key of rows may hold any share of them.
 
-    Rows with a hot key meet its row by broadcast, which HOT_ONE_OF bounds; the others by shuffle. Rows are read twice.
+    Rows with a hot key meet its row by broadcast, which HOT_ONE_OF bounds; the others by shuffle. Rows are read
+    once to count their keys and once or twice to be joined.
     """
-    hot = hot_keys(rows, key) if hot is None else hot
+    hot = hot_keys(rows, key)
+    if hot is None:
+        return rows.join(table, key)
+    table = kept(table)
     far = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), key, "left_semi")), key)
     return far.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
 

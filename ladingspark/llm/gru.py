@@ -42,6 +42,11 @@ class Gru:
     def class_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.classes, dtype=np.int32), np.diff(self.edges))
 
+    @cached_property
+    def ranked(self) -> np.ndarray:
+        """Class of each id, the unknown word's too, in the smallest numbers, which sort fastest."""
+        return np.append(self.class_of, self.classes).astype(np.uint16 if self.classes < 1 << 16 else np.int32)
+
     @property
     def classes(self) -> int:
         return len(self.edges) - 1
@@ -132,13 +137,14 @@ def windows(model: Gru, targets: np.ndarray, starts: np.ndarray) -> Iterator[tup
         yield here, inputs[here]
 
 
-def by_class(model: Gru, ids: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """Words of a class and places of the ids in it, for the ids of the vocabulary."""
-    of = model.class_of[ids].astype(np.uint16) if model.classes < 1 << 16 else model.class_of[ids]
+def by_class(model: Gru, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, slice]]]:
+    """An order of the ids by class, the unknown ones last; the classes in it; and words and places of each class that has ids."""
+    of = model.ranked[ids]
     order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(model.classes + 1))
-    for c in np.flatnonzero(np.diff(cuts)):
-        yield slice(int(model.edges[c]), int(model.edges[c + 1])), order[cuts[c] : cuts[c + 1]]
+    of = of[order]
+    cuts = np.searchsorted(of, np.arange(model.classes + 1))
+    found = [(slice(int(model.edges[c]), int(model.edges[c + 1])), slice(int(cuts[c]), int(cuts[c + 1]))) for c in np.flatnonzero(np.diff(cuts))]
+    return order, of, found
 
 
 def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,33 +174,36 @@ def score(model: Gru, texts: list[np.ndarray], most_lanes: int = 1024) -> np.nda
     table = w["embed"] @ w["inward"] + w["gate_bias"]
     across, cut = w["across"], 2 * HIDDEN
     rest = max(1e-12, 1 - model.base.sum())
-    classes = np.append(model.class_of, model.classes)
+    class_out, word_out = np.vstack([w["class_out"], w["class_bias"]]), np.column_stack([w["word_out"], w["word_bias"]])
     targets, owner, starts = lanes(texts, most_lanes)
     state = np.zeros((targets.shape[1], HIDDEN), np.float32)
     for at, inputs in windows(model, targets, starts):
         x, reset, state = table.take(inputs, axis=0), starts[at], state[at[1]]
-        states = np.empty((len(inputs), *state.shape), np.float32)
+        states = np.ones((len(inputs), len(state), HIDDEN + 1), np.float32)  # and a one, that meets the biases
         for t in range(len(inputs)):
             if reset[t].any():
                 state[reset[t]] = 0
             inner = state @ across
             gates = sigmoid(x[t, :, :cut] + inner[:, :cut])
             fresh = np.tanh(x[t, :, cut:] + gates[:, :HIDDEN] * inner[:, cut:])
-            state = fresh + gates[:, HIDDEN:] * (state - fresh)
-            states[t] = state
+            state -= fresh
+            state *= gates[:, HIDDEN:]
+            state += fresh
+            states[t, :, :HIDDEN] = state
         there = targets[at].ravel()
         live = np.flatnonzero(there >= 0)
-        ids, hidden = there[live], states.reshape(-1, HIDDEN)[live]
-        chance, sums = exponentials(hidden @ w["class_out"] + w["class_bias"])
-        known = ids < n
-        p = (chance[np.arange(len(ids)), classes[ids]] / sums).astype(np.float64)
-        inside = np.flatnonzero(known)
-        for block, places in by_class(model, ids[inside]):
-            rows = inside[places]
-            within, sums = exponentials(hidden[rows] @ w["word_out"][block].T + w["word_bias"][block])
-            p[rows] *= within[np.arange(len(rows)), ids[rows] - block.start] / sums
-        p[inside] = SHARE * p[inside] + (1 - SHARE) * model.base[ids[inside]]
-        p[~known] = SHARE * p[~known] / rest + (1 - SHARE)
+        order, of, found = by_class(model, there[live])
+        live = live[order]
+        ids, hidden = there[live], states.reshape(-1, HIDDEN + 1)[live]
+        chance, sums = exponentials(hidden @ class_out)
+        p = (chance[np.arange(len(ids)), of] / sums).astype(np.float64)
+        for block, rows in found:
+            within, sums = exponentials(hidden[rows] @ word_out[block].T)
+            p[rows] *= within[np.arange(len(within)), ids[rows] - block.start] / sums
+        p *= SHARE
+        known = int(np.searchsorted(of, model.classes))
+        p[:known] += (1 - SHARE) * model.base[ids[:known]]
+        p[known:] = p[known:] / rest + (1 - SHARE)
         out += np.bincount(owner[at].ravel()[live], np.log10(p), len(texts))
     return out
 
@@ -208,9 +217,13 @@ class Trainer:
         self.tokens, self.width = 0, 1
 
     def descend(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        squares = self.squares[name][rows] + gradient * gradient
-        self.squares[name][rows] = squares
-        self.model.weights[name][rows] -= self.rate * gradient / np.sqrt(squares)
+        squares = self.squares[name][rows]
+        squares += gradient * gradient
+        if not isinstance(rows, slice):
+            self.squares[name][rows] = squares
+        gradient *= np.float32(self.rate)
+        gradient /= np.sqrt(squares)
+        self.model.weights[name][rows] -= gradient
 
     def run(self, texts: list[np.ndarray], most_lanes: int = 48, seed: int = 1) -> None:
         """One pass over the texts, cut into spans and mixed, so that no text has the last word."""
@@ -246,41 +259,47 @@ class Trainer:
             return state
         self.tokens += len(live)
         scale = np.float32(1 / (WINDOW * self.width))  # thinly filled windows weigh less
+        order, of, found = by_class(model, there[live])
+        live = live[order]
         ids, hidden = there[live], states.reshape(-1, HIDDEN)[live]
-        known = ids < len(model.base)
         error = softmax(hidden @ w["class_out"] + w["class_bias"])
-        error[np.arange(len(ids)), np.append(model.class_of, model.classes)[ids]] -= 1
+        error[np.arange(len(ids)), of] -= 1
         error *= scale
         pull = error @ w["class_out"].T
         updates = [("class_out", hidden.T @ error, slice(None)), ("class_bias", error.sum(axis=0), slice(None))]
-        inside = np.flatnonzero(known)
-        for block, places in by_class(model, ids[inside]):
-            rows = inside[places]
-            error = softmax(hidden[rows] @ w["word_out"][block].T + w["word_bias"][block])
-            error[np.arange(len(rows)), ids[rows] - block.start] -= 1
+        for block, rows in found:
+            own = hidden[rows]
+            error = own @ w["word_out"][block].T
+            error += w["word_bias"][block]
+            error = softmax(error)
+            error[np.arange(len(own)), ids[rows] - block.start] -= 1
             error *= scale
             pull[rows] += error @ w["word_out"][block]
-            updates += [("word_out", error.T @ hidden[rows], block), ("word_bias", error.sum(axis=0), block)]
+            updates += [("word_out", error.T @ own, block), ("word_bias", error.sum(axis=0), block)]
         outer = np.zeros((steps * count, HIDDEN), np.float32)
         outer[live] = pull
         outer = outer.reshape(steps, count, HIDDEN)
-        d_x, carry = np.empty_like(x), np.zeros((count, HIDDEN), np.float32)
-        d_across = np.zeros_like(w["across"])
+        r, z = gates[..., :HIDDEN], gates[..., HIDDEN:]
+        by_fresh, by_z, by_r = (1 - z) * (1 - fresh * fresh), (before - fresh) * z * (1 - z), inner * r * (1 - r)
+        d_x, d_over, carry = np.empty_like(x), np.empty_like(x), np.zeros((count, HIDDEN), np.float32)
+        back = np.ascontiguousarray(w["across"].T)
         for t in range(steps - 1, -1, -1):
             d = outer[t] + carry
-            r, z = gates[t, :, :HIDDEN], gates[t, :, HIDDEN:]
-            d_fresh = d * (1 - z) * (1 - fresh[t] * fresh[t])
-            d_z = d * (before[t] - fresh[t]) * z * (1 - z)
-            d_r = d_fresh * inner[t] * r * (1 - r)
-            d_x[t] = np.concatenate([d_r, d_z, d_fresh], axis=1)
-            d_over = np.concatenate([d_r, d_z, d_fresh * r], axis=1)
-            d_across += before[t].T @ d_over
-            carry = d * z + d_over @ w["across"].T
+            d_fresh = np.multiply(d, by_fresh[t], out=d_x[t, :, cut:])
+            over = d_over[t]
+            np.multiply(d_fresh, by_r[t], out=over[:, :HIDDEN])
+            np.multiply(d, by_z[t], out=over[:, HIDDEN:cut])
+            np.multiply(d_fresh, r[t], out=over[:, cut:])
+            carry = over @ back
+            d *= z[t]
+            carry += d
             carry[reset[t]] = 0
+        d_x[..., :cut] = d_over[..., :cut]
+        d_across = before.reshape(-1, HIDDEN).T @ d_over.reshape(steps * count, -1)
         d_x = d_x.reshape(steps * count, -1)
-        seen, where = np.unique(inputs.ravel(), return_inverse=True)
-        d_embed = np.zeros((len(seen), EMBEDDED), np.float32)
-        np.add.at(d_embed, where, d_x @ w["inward"].T)
+        order = np.argsort(inputs.ravel(), kind="stable")
+        seen, firsts = np.unique(inputs.ravel()[order], return_index=True)
+        d_embed = np.add.reduceat((d_x @ w["inward"].T)[order], firsts, axis=0)
         updates += [("across", d_across, slice(None)), ("inward", embedded.reshape(-1, EMBEDDED).T @ d_x, slice(None)), ("gate_bias", d_x.sum(axis=0), slice(None)), ("embed", d_embed, seen)]
         for name, gradient, rows in updates:
             self.descend(name, gradient, rows)

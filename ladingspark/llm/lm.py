@@ -2,7 +2,7 @@
 
 Three steps over the corpus. Words are counted over every training document, as a Spark
 aggregate. The recurrent model (see `gru`) starts from those counts and takes its gradient steps
-on a hash-chosen share of the training documents that grows with the corpus: in each round every
+on every training document, once: documents are dealt over the rounds by hash, in each round every
 group of documents trains a copy, and the copies are averaged weight by weight. Then every
 document is scored from its first word to its end in one pass, the state carried from window to
 window. The model's vocabulary grows with what it is trained on; words beyond it share the chance of
@@ -33,10 +33,12 @@ from .gru import Gru, Trainer, score
 HEAD = 100_000
 #: The model tells the words apart that the gradient steps meet LEAST_SEEN times: LEAST_WORDS at least, MOST_WORDS (4 MB of weights) at most.
 LEAST_SEEN, LEAST_WORDS, MOST_WORDS = 8, 1024, 16_384
-#: Gradient steps are taken on TRAIN_SHARE of the training tokens and TRAIN_TOKENS more, in ROUNDS rounds.
-TRAIN_SHARE, TRAIN_TOKENS, ROUNDS = 0.06, 2_000_000, 3
-#: Tokens that one copy of the model is trained on in a round, until there are MOST_COPIES copies.
-COPY_TOKENS, MOST_COPIES = 250_000, 2000
+#: Gradient steps are taken on all training tokens, in ROUNDS rounds, each on its share of the documents.
+ROUNDS = 3
+#: Lanes that a copy trains side by side: more, and so fewer and larger steps, where there would be over MANY_COPIES copies.
+FEW_LANES, MOST_LANES, MANY_COPIES = 48, 192, 16
+#: Tokens of a lane of one copy of the model in a round, until there are MOST_COPIES copies.
+LANE_TOKENS, MOST_COPIES = 5_200, 2000
 #: Tokens that a task packs into lanes at a time, and distinct words that it counts before it hands them on.
 PACKED_TOKENS, COUNTED_WORDS = 2_000_000, 300_000
 #: Numbers in a row when weights are averaged.
@@ -110,28 +112,54 @@ def ids_in(text: str, ids: dict[bytes, int], unknown: int) -> np.ndarray:
     return np.concatenate([*found, np.array([ids.get(END, unknown)], np.int32)])
 
 
-def trained(sample: DataFrame, model: Gru, head: Head, tokens: int) -> Gru:
-    """The model after ROUNDS rounds over sample (key, text, round) of about `tokens` tokens."""
-    sc = sample.sparkSession.sparkContext
-    words = sc.broadcast(head)
-    copies = int(min(MOST_COPIES, max(1, tokens // ROUNDS // COPY_TOKENS)))
-    sample = sample.withColumn("copy", F.pmod(F.xxhash64("key"), F.lit(copies)).cast("int"))
+def copies_and_lanes(tokens: int) -> tuple[int, int]:
+    """Copies of the model in a round over all `tokens` training tokens, and lanes of each."""
+    shares = tokens // ROUNDS // LANE_TOKENS
+    lanes = int(np.clip(shares // MANY_COPIES, FEW_LANES, MOST_LANES))
+    return int(np.clip(shares // lanes, 1, MOST_COPIES)), lanes
+
+
+def encoded(training: DataFrame, head: Head, unknown: int, copies: int) -> DataFrame:
+    """round, copy, key, ids (as bytes, the end included): a row for each training document."""
+    words = training.sparkSession.sparkContext.broadcast(head)
+    # The round and the copy come from apart bits of the key.
+    key = F.xxhash64("doc_id", "text")
+    dealt = training.select(
+        F.pmod(F.shiftright(key, 32), F.lit(ROUNDS)).cast("int").alias("round"), F.pmod(F.xxhash64(key), F.lit(copies)).cast("int").alias("copy"), key.alias("key"), "text"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = {w: i for w, i in words.value.ids.items() if i < unknown}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                found = [ids_in(text.as_py(), ids, unknown).astype(np.uint16 if unknown < 1 << 16 else np.int32).tobytes() for text in part.column("text")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("round", "copy", "key")), pa.array(found, pa.binary())], names=["round", "copy", "key", "ids"])
+
+    return dealt.mapInArrow(run, "round int, copy int, key bigint, ids binary")
+
+
+def trained(training: DataFrame, model: Gru, head: Head, tokens: int) -> Gru:
+    """The model after ROUNDS rounds over training (doc_id, text), `tokens` tokens: each document takes part in one."""
+    sc = training.sparkSession.sparkContext
+    copies, most_lanes = copies_and_lanes(tokens)
+    unknown = model.unknown
+    given = stored(encoded(training, head, unknown, copies))
     for r in range(ROUNDS):
         sent = sc.broadcast(model)
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(sent.value.with_flat(sent.value.flat()))
-            ids = {w: i for w, i in words.value.ids.items() if i < trainer.model.unknown}
             texts, held, copy = [], 0, 0
             for batch in batches:
                 copy = batch.column("copy")[0].as_py() if batch.num_rows else copy
-                for text in batch.column("text").to_pylist():
-                    texts.append(ids_in(text, ids, trainer.model.unknown))
+                for text in batch.column("ids").to_pylist():
+                    texts.append(np.frombuffer(text, np.uint16 if unknown < 1 << 16 else np.int32))
                     held += len(texts[-1])
                     if held >= PACKED_TOKENS:
-                        trainer.run(texts)
+                        trainer.run(texts, most_lanes)
                         texts, held = [], 0
-            trainer.run(texts)
+            trainer.run(texts, most_lanes)
             if trainer.tokens:
                 flat = trainer.model.flat()
                 cut = [flat[i : i + CHUNK] for i in range(0, len(flat), CHUNK)]
@@ -142,7 +170,7 @@ def trained(sample: DataFrame, model: Gru, head: Head, tokens: int) -> Gru:
                 )
 
         # Copies are few and long: more partitions than copies, so that few of them share a task.
-        dealt = sample.filter(F.col("round") == r).repartition(4 * copies, "copy").sortWithinPartitions("copy", "key").select("copy", "text")
+        dealt = given.filter(F.col("round") == r).repartition(4 * copies, "copy").sortWithinPartitions("copy", "key").select("copy", "ids")
         made = dealt.groupBy("copy").applyInArrow(learn, "chunk int, copy int, tokens bigint, weights array<float>")
         rows = made.groupBy("chunk").applyInArrow(averaged, "chunk int, weights array<double>").toArrow().sort_by("chunk")  # the model itself
         if rows.num_rows:
@@ -222,12 +250,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = stored(word_counts(training.select("text")))
     head = head_of(counts)
 
-    share = min(1.0, TRAIN_SHARE + TRAIN_TOKENS / max(1, head.tokens))
-    key = F.xxhash64("doc_id", "text")
-    place = F.pmod(key, F.lit(1 << 20)) / float(1 << 20)  # uniform in [0, 1)
-    sample = training.withColumn("key", key).filter(place < share).select("key", "text", F.floor(place / share * ROUNDS).cast("int").alias("round"))
-    words = int(np.clip((head.counts * share >= LEAST_SEEN).sum(), LEAST_WORDS, MOST_WORDS))
-    model = trained(stored(sample), Gru.initial(head.base[:words]), head, int(share * head.tokens))
+    words = int(np.clip((head.counts >= LEAST_SEEN).sum(), LEAST_WORDS, MOST_WORDS))
+    model = trained(training, Gru.initial(head.base[:words]), head, head.tokens)
 
     told = stored(scored(rows.withColumn("_id", F.monotonically_increasing_id()), model, head))
     log_base = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(head.room)))

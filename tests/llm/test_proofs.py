@@ -6,6 +6,7 @@ import itertools
 import json
 import math
 import struct
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -89,6 +90,36 @@ def test_long_text_is_scored_in_pieces(spark, monkeypatch):
         assert r["score"] == pytest.approx(whole[i]["score"], abs=1e-3) and r["base_score"] == pytest.approx(whole[i]["base_score"])
 
 
+def test_every_training_token_takes_part_in_one_step(spark, monkeypatch, tmp_path):
+    """A corpus of over two million tokens: what the copies are trained on adds up to all training tokens, each text once."""
+    texts = [f"own{i} " + "some words again " * 3000 for i in range(300)]
+    folder = str(tmp_path)
+
+    class Counting:
+        def __init__(self, model, *_):
+            self.model, self.tokens = model, 0
+
+        def run(self, texts, *_):
+            self.tokens += sum(map(len, texts))
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(" ".join(str(len(t)) for t in texts))
+
+    class Done(Exception):
+        pass
+
+    def done(docs, model, head):
+        raise Done
+
+    monkeypatch.setattr(lm, "Trainer", Counting)
+    monkeypatch.setattr(lm, "scored", done)
+    with pytest.raises(Done):
+        lm.score_documents(documents(spark, texts))
+    sizes = [int(n) for p in tmp_path.iterdir() for n in p.read_text().split()]
+    training = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert sorted(sizes) == [9002] * len(training)
+    assert lm.copies_and_lanes(3_400_000) == (4, 48) and lm.copies_and_lanes(90_000_000) == (30, 192)  # lanes change the steps' size, not what is read
+
+
 def test_png_by_an_independent_reader(spark):
     """The file is read by the standard's words alone, and the feature is summed by its definition."""
     texts = [*ODD_TEXTS, "row of text " * 9000]

@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of what they decode to."""
-    return bpe.encode(docs, tokenizer_json()).drop("decoded")
+    return bpe.encode(docs, tokenizer_json(), with_text=False)
 
 
 STAGES: list[tuple[str, Stage]] = [

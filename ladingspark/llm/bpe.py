@@ -167,6 +167,11 @@ class PrefixBpe:
             out += ids
         return out
 
+    def forget(self) -> None:
+        """Drop what is remembered of pieces and pairs."""
+        self.known.clear()
+        self.fits.clear()
+
     @staticmethod
     def looked_up(table: np.ndarray, ids: Sequence[int]) -> Iterator[list]:
         """The table's entries of the ids, some at a time."""
@@ -187,8 +192,11 @@ def loaded(content: str) -> PrefixBpe:
     return PrefixBpe(content)
 
 
-def encode(docs: DataFrame, tokenizer_json: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, the ids and the decoded text.
+def encode(docs: DataFrame, tokenizer_json: str, with_ids: bool = True, with_text: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, the ids and (with_text) the decoded text.
+
+    Workers outlive a task and go on to other stages; the encoder stays in them, what it remembers of
+    the texts does not.
 
     tokenizer_json: the file's content; at most a few MB, it travels with the task. Other columns
     are not looked at; repeated rows give repeated results.
@@ -197,7 +205,7 @@ def encode(docs: DataFrame, tokenizer_json: str, with_ids: bool = True) -> DataF
         raise ValueError("the tokenizer file is over 32 MB")
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "") + (", decoded string" if with_ids and with_text else "")
 
     def digests(bpe: PrefixBpe, text: str) -> tuple[int, str, str, np.ndarray | None, str | None]:
         """The row of a text; without ids nothing of a part is held but its digests' state."""
@@ -210,19 +218,25 @@ def encode(docs: DataFrame, tokenizer_json: str, with_ids: bool = True) -> DataF
             text_sha.update(back.encode())
             if with_ids:
                 all_ids += ids
+            if with_ids and with_text:
                 decoded.append(back)
-        return n, ids_sha.hexdigest(), text_sha.hexdigest(), np.frombuffer(all_ids, np.int32) if with_ids else None, "".join(decoded) if with_ids else None
+        return n, ids_sha.hexdigest(), text_sha.hexdigest(), np.frombuffer(all_ids, np.int32) if with_ids else None, "".join(decoded) if with_ids and with_text else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(sent.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                n, ids_sha, dec_sha, ids, decoded = zip(*(digests(bpe, text.as_py()) for text in part.column("text")), strict=True)
-                cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(dec_sha)]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    cols, names = [*cols, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded)], [*names, "ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    part = batch.slice(start, 256)
+                    n, ids_sha, dec_sha, ids, decoded = zip(*(digests(bpe, text.as_py()) for text in part.column("text")), strict=True)
+                    cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(dec_sha)]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    if with_ids:
+                        cols, names = [*cols, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+                    if with_ids and with_text:
+                        cols, names = [*cols, pa.array(decoded)], [*names, "decoded"]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+        finally:
+            bpe.forget()
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)

@@ -12,6 +12,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -120,6 +121,20 @@ def test_every_training_token_takes_part_in_one_step(spark, monkeypatch, tmp_pat
     assert lm.copies_and_lanes(3_400_000) == (4, 48) and lm.copies_and_lanes(90_000_000) == (30, 192)  # lanes change the steps' size, not what is read
 
 
+def test_encoder_leaves_nothing_remembered_in_the_workers(spark):
+    """Workers are used again by later stages: after a job none holds pieces or pairs of its texts."""
+    content = queries.tokenizer_json()
+    rows = bpe.encode(documents(spark, random_texts(200)).repartition(4), content).collect()
+    assert len(rows) == 200 and all(r["n_tokens"] for r in rows if r["decoded"])
+
+    def left(batches):
+        for _ in batches:
+            encoder = bpe.loaded(content)
+            yield pa.RecordBatch.from_pydict({"n": [len(encoder.known) + len(encoder.fits)]})
+
+    assert [r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(left, "n bigint").collect()] == [0] * 8
+
+
 def test_png_by_an_independent_reader(spark):
     """The file is read by the standard's words alone, and the feature is summed by its definition."""
     texts = [*ODD_TEXTS, "row of text " * 9000]

@@ -22,6 +22,9 @@ WINDOW = 24
 #: Tokens that training takes of a text at a stretch.
 SPAN = 20 * WINDOW
 HIDDEN, EMBEDDED = 32, 24
+#: Rows whose chances are worked out at a time, and rows of weights that take a step at a time.
+BLOCK_ROWS = 1024
+ONES = np.ones(1 << 16, np.float32)
 #: Share of the recurrent model in the mixture with the smoothed word frequencies.
 SHARE = 0.95
 
@@ -97,26 +100,37 @@ def class_edges(n: int) -> np.ndarray:
     return np.array(edges)
 
 
-def lanes(texts: list[np.ndarray], most: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """targets and text numbers (steps x lanes, -1 where a lane is empty), and starts (true at a text's first step).
+@dataclass
+class Lanes:
+    """Texts end to end in lanes, the longest lane first, and the lanes one after another: lane k is edges[k] to edges[k + 1].
 
-    The longest texts go first, or those that `order` names first, each to the shortest lane so far.
+    owner: the text of each token; starts: true at a text's first. Nothing is padded, so that one long text costs its own tokens only.
     """
+
+    targets: np.ndarray
+    owner: np.ndarray
+    starts: np.ndarray
+    edges: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.edges) - 1
+
+
+def lanes(texts: list[np.ndarray], most: int, order: np.ndarray | None = None) -> Lanes:
+    """The longest texts go first, or those that `order` names first, each to the shortest lane so far."""
     sizes = np.array([len(t) for t in texts])
     count = max(1, min(most, len(texts)))
-    heap, where = [(0, k) for k in range(count)], []
+    heap, where = [(0, k) for k in range(count)], [[] for _ in range(count)]
     for i in np.argsort(-sizes, kind="stable") if order is None else order:
         used, k = heapq.heappop(heap)
-        where.append((i, k, used))
+        where[k].append(i)
         heapq.heappush(heap, (used + int(sizes[i]), k))
     by_size = sorted(heap, reverse=True)  # the longest lane first, so that those still going are the first ones
-    place = {k: i for i, (_, k) in enumerate(by_size)}
-    targets, owner = (np.full((count, by_size[0][0]), -1, np.int32) for _ in range(2))
-    starts = np.zeros(targets.shape, bool)
-    for i, k, used in where:
-        lane, span = place[k], slice(used, used + sizes[i])
-        targets[lane, span], owner[lane, span], starts[lane, used] = texts[i], i, True
-    return np.ascontiguousarray(targets.T), np.ascontiguousarray(owner.T), np.ascontiguousarray(starts.T)
+    placed = np.concatenate([where[k] for _, k in by_size]).astype(np.int64)
+    starts = np.zeros(int(sizes.sum()), bool)
+    starts[np.cumsum(sizes[placed]) - sizes[placed]] = True
+    edges = np.cumsum([0, *(used for used, _ in by_size)])
+    return Lanes(np.concatenate([texts[i] for i in placed]), np.repeat(placed.astype(np.int32), sizes[placed]), starts, edges)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -128,13 +142,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def windows(model: Gru, targets: np.ndarray, starts: np.ndarray) -> Iterator[tuple[tuple[slice, slice], np.ndarray]]:
-    """Windows (steps, lanes still going) and their input ids: the word before, or the mark of a start."""
-    before = np.concatenate([np.full((1, targets.shape[1]), model.start, np.int32), targets[:-1]])
-    inputs = np.where(starts | (before < 0), model.start, before)
-    for at in range(0, len(targets), WINDOW):
-        here = slice(at, at + WINDOW), slice(0, int((targets[at] >= 0).sum()))
-        yield here, inputs[here]
+def windows(model: Gru, packed: Lanes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each window, steps by lanes still going: targets (-1 beyond a lane's end), places in `packed`, starts and input ids: the word before, or the mark of a start."""
+    sizes = np.diff(packed.edges)
+    for at in range(0, int(sizes[0]), WINDOW):
+        going = int(np.searchsorted(-sizes, -at))  # lanes with more than `at` tokens
+        steps = np.arange(at, min(at + WINDOW, int(sizes[0])))[:, None]
+        beyond = steps >= sizes[:going]
+        places = np.where(beyond, 0, packed.edges[:going] + steps)
+        starts = packed.starts[places] & ~beyond
+        inputs = np.where(starts | beyond, model.start, packed.targets[places - 1]).astype(np.int32)
+        yield np.where(beyond, -1, packed.targets[places].astype(np.int32)), places, starts, inputs
 
 
 def by_class(model: Gru, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, slice]]]:
@@ -148,17 +166,28 @@ def by_class(model: Gru, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[
 
 
 def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of x in place (cut off far above what log chances reach), and the sums of its rows."""
-    np.minimum(x, 80, out=x)
+    """exp of x in place, and the sums of its rows; of rows less their greatest, where some are far above what log chances reach."""
+    if x.max(initial=0) > 30:
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    return x, np.maximum(x @ np.ones(x.shape[1], np.float32), np.float32(1e-30))
+    sums = x @ ONES[: x.shape[1]] if x.shape[1] <= len(ONES) else x.sum(axis=1)
+    return x, np.maximum(sums, np.float32(1e-30), out=sums)
+
+
+def blocks(rows: slice) -> Iterator[slice]:
+    """The rows in parts of BLOCK_ROWS, whose products stay in the processor's cache."""
+    for at in range(rows.start, rows.stop, BLOCK_ROWS):
+        yield slice(at, min(at + BLOCK_ROWS, rows.stop))
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    """In place, over the last axis."""
+def softmax_error(x: np.ndarray, targets: np.ndarray, scale: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """Two factors of the softmax over the last axis less one at each row's target, times scale: x in place, and a number for each row.
+
+    The second is left to the narrow matrices that the first meets.
+    """
     x, sums = exponentials(x)
-    x /= sums[:, None]
-    return x
+    x[np.arange(len(x)), targets] -= sums
+    return x, np.divide(scale, sums, out=sums)
 
 
 def score(model: Gru, texts: list[np.ndarray], most_lanes: int = 1024) -> np.ndarray:
@@ -175,36 +204,46 @@ def score(model: Gru, texts: list[np.ndarray], most_lanes: int = 1024) -> np.nda
     across, cut = w["across"], 2 * HIDDEN
     rest = max(1e-12, 1 - model.base.sum())
     class_out, word_out = np.vstack([w["class_out"], w["class_bias"]]), np.column_stack([w["word_out"], w["word_bias"]])
-    targets, owner, starts = lanes(texts, most_lanes)
-    state = np.zeros((targets.shape[1], HIDDEN), np.float32)
-    for at, inputs in windows(model, targets, starts):
-        x, reset, state = table.take(inputs, axis=0), starts[at], state[at[1]]
+    packed = lanes(texts, most_lanes)
+    state = np.zeros((len(packed), HIDDEN), np.float32)
+    for targets, places, starts, inputs in windows(model, packed):
+        state = state[: inputs.shape[1]]
         states = np.ones((len(inputs), len(state), HIDDEN + 1), np.float32)  # and a one, that meets the biases
         for t in range(len(inputs)):
-            if reset[t].any():
-                state[reset[t]] = 0
-            inner = state @ across
-            gates = sigmoid(x[t, :, :cut] + inner[:, :cut])
-            fresh = np.tanh(x[t, :, cut:] + gates[:, :HIDDEN] * inner[:, cut:])
+            if starts[t].any():
+                state[starts[t]] = 0
+            x, inner = table.take(inputs[t], axis=0), state @ across
+            gates = x[:, :cut]
+            gates += inner[:, :cut]
+            sigmoid(gates)
+            fresh = inner[:, cut:]
+            fresh *= gates[:, :HIDDEN]
+            fresh += x[:, cut:]
+            np.tanh(fresh, out=fresh)
             state -= fresh
             state *= gates[:, HIDDEN:]
             state += fresh
             states[t, :, :HIDDEN] = state
-        there = targets[at].ravel()
+        there = targets.ravel()
         live = np.flatnonzero(there >= 0)
         order, of, found = by_class(model, there[live])
         live = live[order]
         ids, hidden = there[live], states.reshape(-1, HIDDEN + 1)[live]
-        chance, sums = exponentials(hidden @ class_out)
-        p = (chance[np.arange(len(ids)), of] / sums).astype(np.float64)
-        for block, rows in found:
-            within, sums = exponentials(hidden[rows] @ word_out[block].T)
-            p[rows] *= within[np.arange(len(within)), ids[rows] - block.start] / sums
+        p = np.empty(len(ids), np.float32)
+        for rows in blocks(slice(0, len(ids))):
+            chance, sums = exponentials(hidden[rows] @ class_out)
+            p[rows] = chance[np.arange(len(chance)), of[rows]] / sums
+        p = p.astype(np.float64)
+        for block, all_rows in found:
+            out_of = word_out[block].T
+            for rows in blocks(all_rows):
+                within, sums = exponentials(hidden[rows] @ out_of)
+                p[rows] *= within[np.arange(len(within)), ids[rows] - block.start] / sums
         p *= SHARE
         known = int(np.searchsorted(of, model.classes))
         p[:known] += (1 - SHARE) * model.base[ids[:known]]
         p[known:] = p[known:] / rest + (1 - SHARE)
-        out += np.bincount(owner[at].ravel()[live], np.log10(p), len(texts))
+        out += np.bincount(packed.owner[places.ravel()[live]], np.log10(p), len(texts))
     return out
 
 
@@ -214,15 +253,19 @@ class Trainer:
     def __init__(self, model: Gru, rate: float = 0.2, floor: float = 1e-4):
         self.model, self.rate = model, rate
         self.squares = {k: np.full(v.shape, floor, np.float32) for k, v in model.weights.items()}
+        self.word_slopes = {k: np.zeros_like(model.weights[k]) for k in ("word_out", "word_bias")}
+        self.room = np.empty(0, np.float32)
         self.tokens, self.width = 0, 1
 
     def descend(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         squares = self.squares[name][rows]
-        squares += gradient * gradient
+        root = gradient * gradient
+        squares += root
         if not isinstance(rows, slice):
             self.squares[name][rows] = squares
+        np.sqrt(squares, out=root)
         gradient *= np.float32(self.rate)
-        gradient /= np.sqrt(squares)
+        gradient /= root
         self.model.weights[name][rows] -= gradient
 
     def run(self, texts: list[np.ndarray], most_lanes: int = 48, seed: int = 1) -> None:
@@ -230,11 +273,18 @@ class Trainer:
         spans = [t[at : at + SPAN] for t in texts for at in range(0, len(t), SPAN)]
         if not spans:
             return
-        targets, _, starts = lanes(spans, most_lanes, np.random.default_rng(seed).permutation(len(spans)))
-        self.width = targets.shape[1]
+        packed = lanes(spans, most_lanes, np.random.default_rng(seed).permutation(len(spans)))
+        self.width = len(packed)
         state = np.zeros((self.width, HIDDEN), np.float32)
-        for at, inputs in windows(self.model, targets, starts):
-            state = self.step(targets[at], inputs, starts[at], state[at[1]])
+        for targets, _, starts, inputs in windows(self.model, packed):
+            state = self.step(targets, inputs, starts, state[: inputs.shape[1]])
+
+    def product(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """a @ b in memory that the next product takes again."""
+        size = len(a) * b.shape[1]
+        if len(self.room) < size:
+            self.room = np.empty(size, np.float32)
+        return np.matmul(a, b, out=self.room[:size].reshape(len(a), -1))
 
     def step(self, targets: np.ndarray, inputs: np.ndarray, reset: np.ndarray, state: np.ndarray) -> np.ndarray:
         """One update from one window; the state after it."""
@@ -245,9 +295,10 @@ class Trainer:
         before, gates, inner, fresh = (np.empty((steps, count, k), np.float32) for k in (HIDDEN, cut, HIDDEN, HIDDEN))
         states = np.empty((steps, count, HIDDEN), np.float32)
         for t in range(steps):
-            state = np.where(reset[t][:, None], np.float32(0), state)
             before[t] = state
-            over = state @ w["across"]
+            if reset[t].any():
+                before[t][reset[t]] = 0
+            over = before[t] @ w["across"]
             inner[t] = over[:, cut:]
             gates[t] = sigmoid(x[t, :, :cut] + over[:, :cut])
             fresh[t] = np.tanh(x[t, :, cut:] + gates[t, :, :HIDDEN] * inner[t])
@@ -262,20 +313,30 @@ class Trainer:
         order, of, found = by_class(model, there[live])
         live = live[order]
         ids, hidden = there[live], states.reshape(-1, HIDDEN)[live]
-        error = softmax(hidden @ w["class_out"] + w["class_bias"])
-        error[np.arange(len(ids)), of] -= 1
-        error *= scale
+        error = self.product(hidden, w["class_out"])
+        error += w["class_bias"]
+        error, share = softmax_error(error, of, scale)
         pull = error @ w["class_out"].T
-        updates = [("class_out", hidden.T @ error, slice(None)), ("class_bias", error.sum(axis=0), slice(None))]
+        pull *= share[:, None]
+        updates = [("class_out", (hidden * share[:, None]).T @ error, slice(None)), ("class_bias", share @ error, slice(None))]
+        words, bias, slopes, bias_slopes = w["word_out"], w["word_bias"], *self.word_slopes.values()
+        stepped: list[slice] = []
         for block, rows in found:
-            own = hidden[rows]
-            error = own @ w["word_out"][block].T
-            error += w["word_bias"][block]
-            error = softmax(error)
-            error[np.arange(len(own)), ids[rows] - block.start] -= 1
-            error *= scale
-            pull[rows] += error @ w["word_out"][block]
-            updates += [("word_out", error.T @ own, block), ("word_bias", error.sum(axis=0), block)]
+            own, weights = hidden[rows], words[block]
+            error = self.product(own, weights.T)
+            error += bias[block]
+            error, share = softmax_error(error, ids[rows] - block.start, scale)
+            back = error @ weights
+            back *= share[:, None]
+            pull[rows] += back
+            np.matmul(error.T, own * share[:, None], out=slopes[block])
+            np.matmul(share, error, out=bias_slopes[block])
+            # Classes side by side take their step together.
+            if stepped and stepped[-1].stop == block.start and block.stop - stepped[-1].start <= BLOCK_ROWS:
+                stepped[-1] = slice(stepped[-1].start, block.stop)
+            else:
+                stepped.append(block)
+        updates += [(name, slope[part], part) for part in stepped for name, slope in self.word_slopes.items()]
         outer = np.zeros((steps * count, HIDDEN), np.float32)
         outer[live] = pull
         outer = outer.reshape(steps, count, HIDDEN)
@@ -297,8 +358,11 @@ class Trainer:
         d_x[..., :cut] = d_over[..., :cut]
         d_across = before.reshape(-1, HIDDEN).T @ d_over.reshape(steps * count, -1)
         d_x = d_x.reshape(steps * count, -1)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        seen, firsts = np.unique(inputs.ravel()[order], return_index=True)
+        given = inputs.ravel().astype(np.uint16 if model.start < 1 << 16 else np.int32)  # the smallest numbers sort fastest
+        order = np.argsort(given, kind="stable")
+        given = given[order]
+        firsts = np.flatnonzero(np.append(True, given[1:] != given[:-1]))
+        seen = given[firsts]
         d_embed = np.add.reduceat((d_x @ w["inward"].T)[order], firsts, axis=0)
         updates += [("across", d_across, slice(None)), ("inward", embedded.reshape(-1, EMBEDDED).T @ d_x, slice(None)), ("gate_bias", d_x.sum(axis=0), slice(None)), ("embed", d_embed, seen)]
         for name, gradient, rows in updates:

@@ -6,9 +6,10 @@ import itertools
 import json
 import math
 import struct
+import tracemalloc
 import uuid
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -121,6 +122,46 @@ def test_every_training_token_takes_part_in_one_step(spark, monkeypatch, tmp_pat
     assert lm.copies_and_lanes(3_400_000) == (4, 48) and lm.copies_and_lanes(90_000_000) == (30, 192)  # lanes change the steps' size, not what is read
 
 
+def test_scoring_takes_memory_by_tokens():
+    """One long text among many short ones: lanes are not filled up to the longest."""
+    model = gru.Gru.initial(np.full(200, 0.004))
+    texts = [np.zeros(20_000, np.uint16), *(np.full(10, k % 200, np.uint16) for k in range(2000))]
+    tracemalloc.start()
+    try:
+        together = gru.score(model, texts)
+        assert tracemalloc.get_traced_memory()[1] < 32e6  # 1024 lanes of 20,000 tokens were 370 MB
+    finally:
+        tracemalloc.stop()
+    assert together[:3] == pytest.approx([gru.score(model, [t])[0] for t in texts[:3]], abs=1e-3)
+
+
+def test_words_by_arrow_are_those_of_python(monkeypatch):
+    """Words, ids and tails of odd texts, whole and in pieces, few texts at a time, against bytes.split."""
+    texts = [*ODD_TEXTS, "", " \x0b ", "\x1ca\x85B\u00a0c \x0cDd", "w " * 700 + "rare rare", "\U0001f600 " * 400]
+    texts = [t or "" for t in texts if t is None or len(t) < 100_000]
+    expected = [t.encode().lower().split() for t in texts]
+    counts = Counter(w for t in expected for w in [*t, b""]).most_common()[:12]
+    head = lm.Head(b" ".join(w for w, _ in counts), np.array([n for _, n in counts]), 5000, 100)
+    place = {w: i for i, (w, _) in enumerate(counts)}
+    for piece, group in ((1 << 20, 4 << 20), (500, 2000)):
+        monkeypatch.setattr(common, "PIECE_BYTES", piece)
+        monkeypatch.setattr(lm, "GROUP_BYTES", group)
+        row = 0
+        for rows, parts in lm.groups(pa.array(texts)):
+            assert rows.start == row
+            found = lm.coded(parts, rows.stop - row, head, 8)
+            for k in range(rows.stop - row):
+                words = [*expected[row + k], b""]
+                got = {name: column[k].as_py() for name, column in found.items()}
+                assert np.frombuffer(got["ids"], np.uint16).tolist() == [min(place.get(w, 8), 8) for w in words] and got["n_tokens"] == len(words)
+                assert dict(zip(got["tail_words"], got["tail_counts"], strict=True)) == Counter(w for w in words if w not in place)
+                assert got["head_known"] == sum(w in place for w in words)
+                assert got["head_base"] == pytest.approx(sum(head.log_base[place[w]] for w in words if w in place))
+                assert got["head_rest"] == pytest.approx(sum(head.log_base[place[w]] for w in words if place.get(w, 0) >= 8))
+            row = rows.stop
+        assert row == len(texts)
+
+
 def test_encoder_leaves_nothing_remembered_in_the_workers(spark):
     """Workers are used again by later stages: after a job none holds pieces or pairs of its texts."""
     content = queries.tokenizer_json()
